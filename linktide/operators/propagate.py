@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linktide.operators.graph import node_table, transition
-from linktide.operators.keyed import attach
+from linktide.operators.keyed import attach, ratio
 from linktide.session import settle, shuffle_partitions
 
 ENTRIES_PER_TASK = 500_000
@@ -140,42 +140,60 @@ class EntryTable:
             df.unpersist()
 
 
-def entry_table(adj: DataFrame, keys: tuple[str, ...] = (), hub: int | None = None) -> EntryTable:
+def entry_table(
+    adj: DataFrame,
+    keys: tuple[str, ...] = (),
+    hub: int | None = None,
+    nodes: DataFrame | None = None,
+) -> EntryTable:
     """Build the cached entries of ``adj(src, dst, w)``.
 
-    Columns: ``t`` transition weight, ``s`` symmetric weight, and on self
-    entries ``degree``, ``prior``, ``dangling``, ``out``.
+    ``nodes(id)`` adds nodes that have no link.
+
+    Columns: ``t`` transition weight, ``s`` symmetric weight, ``a`` the weight
+    of id -> to and ``b`` that of to -> id; on self entries ``degree``,
+    ``prior``, ``dangling``, ``out``, ``size``.
     """
     spark = adj.sparkSession
     keys = tuple(keys)
     adj = settle(adj)
     table = node_table(adj, keys)
+    if nodes is not None:
+        lonely = nodes.select(*keys, "id").join(table, [*keys, "id"], "left_anti").select(
+            *keys, "id", F.lit(0.0).alias("out"), F.lit(0.0).alias("degree"),
+            F.lit(True).alias("dangling"),
+        )
+        table = settle(table.unionByName(lonely))
     walk = transition(adj, keys)
     forward = adj.select(*keys, F.col("src").alias("id"), F.col("dst").alias("to"), "w")
-    half = F.when(F.col("id") == F.col("to"), 2 * F.col("w")).otherwise(F.col("w"))
+    loop = F.col("id") == F.col("to")
+    half = F.when(loop, 2 * F.col("w")).otherwise(F.col("w"))
+    turned = F.when(loop, F.col("w")).otherwise(F.lit(0.0))
     pieces = (
         walk.select(
             *keys, F.col("col").alias("id"), F.col("row").alias("to"), F.col("p").alias("t"),
-            F.lit(0.0).alias("s"), F.lit(0.0).alias("a"),
+            F.lit(0.0).alias("s"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"),
         )
         .unionByName(
             forward.select(*keys, "id", "to", F.lit(0.0).alias("t"), half.alias("s"),
-                           F.col("w").alias("a"))
+                           F.col("w").alias("a"), turned.alias("b"))
         )
         .unionByName(
             forward.where("id != to").select(
                 *keys, F.col("to").alias("id"), F.col("id").alias("to"), F.lit(0.0).alias("t"),
-                F.col("w").alias("s"), F.lit(0.0).alias("a"),
+                F.col("w").alias("s"), F.lit(0.0).alias("a"), F.col("w").alias("b"),
             )
         )
     )
     links = pieces.groupBy(*keys, "id", "to").agg(
-        F.sum("t").alias("t"), F.sum("s").alias("s"), F.sum("a").alias("a")
+        *[F.sum(c).alias(c) for c in ("t", "s", "a", "b")]
     )
     links = settle(links)
     counts = links.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("c"))
     top = counts.agg(F.sum("c").alias("e"), F.max("c").alias("m"), F.count("c").alias("n")).first()
     total, biggest, n = top["e"] or 0, top["m"] or 0, top["n"]
+    if nodes is not None:
+        n = table.count()
     width = max(
         1,
         min(
@@ -197,12 +215,10 @@ def entry_table(adj: DataFrame, keys: tuple[str, ...] = (), hub: int | None = No
         *keys,
         "id",
         F.col("id").alias("to"),
-        F.lit(0.0).alias("t"),
-        F.lit(0.0).alias("s"),
-        F.lit(0.0).alias("a"),
+        *[F.lit(0.0).alias(c) for c in ("t", "s", "a", "b")],
         F.lit(True).alias("self"),
         "degree",
-        (F.col("degree") / F.col("__mass")).alias("prior"),
+        ratio(F.col("degree"), F.col("__mass")).alias("prior"),
         "dangling",
         "out",
         "size",

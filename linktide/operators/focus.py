@@ -19,7 +19,7 @@ from linktide.operators.propagate import (
     arriving,
     entry_table,
     own,
-    shuffle_width,
+    planned_for,
     static,
 )
 
@@ -55,11 +55,15 @@ class FocusParams:
         return replace(self, heat_degree=8, heat_span=2.0)
 
 
-def heat_plan(lambda_max: float, params: FocusParams, size: float = 1.0) -> tuple[int, int]:
+LARGEST_CHANGE = 2.0  # L1 distance of two distributions
+
+
+def heat_plan(lambda_max: float, params: FocusParams, size: float = LARGEST_CHANGE) -> tuple[int, int]:
     """(sub-steps, degree) to smooth a vector of L1 norm ``size``."""
     s = params.tau * lambda_max / 2
     if params.heat_span is not None and params.heat_degree is not None:
         return max(1, math.ceil(s / params.heat_span)), params.heat_degree
+    size = min(size, LARGEST_CHANGE)
     tail, degree = 0.0, 12 + math.ceil(9 * math.sqrt(s + 1))
     values = heat_coefficients(s, degree)
     while degree > 2 and (tail + abs(values[degree])) * size < params.heat_error:
@@ -177,7 +181,7 @@ def _power(table: EntryTable, state: DataFrame, shift: Column | None, steps: int
 def lambda_max(table: EntryTable, steps: int = 60):
     """Largest Laplacian eigenvalue: a float, or a table for many graphs."""
     start = table.per_node(x=start_value(dict(table.entries.dtypes)["id"]))
-    with shuffle_width(table.spark, table.width):
+    with planned_for(table):
         found = _power(table, start, None, steps, centre=False)
         if table.keys:
             return found.select(*table.keys, F.coalesce("quotient", F.lit(0.0)).alias("lambda_max"))
@@ -187,7 +191,7 @@ def lambda_max(table: EntryTable, steps: int = 60):
 def lambda_2(table: EntryTable, top, steps: int = 120):
     """Smallest non-trivial Laplacian eigenvalue, floored at zero."""
     start = table.per_node(x=start_value(dict(table.entries.dtypes)["id"]))
-    with shuffle_width(table.spark, table.width):
+    with planned_for(table):
         if table.keys:
             wide = table.with_static(top, ["lambda_max"])
             mu = _power(wide, start, F.col("lambda_max"), steps, centre=True)
@@ -326,7 +330,7 @@ def steps_for(kappa: float, epsilon: float, cap: int) -> int:
 
 def spectrum(table: EntryTable, params: FocusParams = FocusParams()) -> Spectrum:
     if params.krylov_steps:
-        with shuffle_width(table.spark, table.width):
+        with planned_for(table):
             top, gap = krylov_ends(table, params.krylov_steps)
     else:
         top = lambda_max(table, params.power_steps)
@@ -481,7 +485,7 @@ def run_focus(
     ``(keys, steps)`` and ``(keys, lambda_max)``, each graph stops at its own
     step count, and all graphs advance together.
     """
-    with shuffle_width(table.spark, table.width):
+    with planned_for(table):
         return _run_focus(table, steps, top, params, start, prior, tolerance)
 
 
@@ -602,7 +606,8 @@ def replace_entries(table: EntryTable, entries: DataFrame) -> EntryTable:
     order = [*table.keys, "id"] + (["salt"] if table.salted else [])
     placed = entries.repartition(table.width, *order).sortWithinPartitions(*order).persist()
     return EntryTable(
-        placed, table.keys, table.width, table.salted, table.n, [*table.cached, placed]
+        placed, table.keys, table.width, table.salted, table.n, table.uneven,
+        [*table.cached, placed],
     )
 
 
@@ -648,7 +653,7 @@ def focus(
 def spectra(table: EntryTable, params: FocusParams = FocusParams()) -> DataFrame:
     """(keys, lambda_max, lambda_2, kappa, steps) of every graph in the table."""
     if params.krylov_steps:
-        with shuffle_width(table.spark, table.width):
+        with planned_for(table):
             found = krylov_ends(table, params.krylov_steps)
     else:
         tops = table.settle(lambda_max(table, params.power_steps))

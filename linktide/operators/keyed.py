@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join ``left`` to ``right`` (one row per key).
 
-    The explicit repartition makes the right side a plain shuffle, which is the
-    shape adaptive execution can replicate when it splits a skewed partition of
-    the left side. A right side that turns out small is broadcast at run time
-    under ``spark.sql.autoBroadcastJoinThreshold``.
+    Adaptive execution can split a skewed partition of the left side only if
+    both sides come straight out of a shuffle. A right side that was aggregated
+    by the key would skip its shuffle, so the join also matches on a hash of the
+    key, which no earlier partitioning covers. A right side that turns out small
+    is broadcast at run time under ``spark.sql.autoBroadcastJoinThreshold``.
     """
     on = list(on)
-    return left.join(right.repartition(*on), on, how)
+    tag = F.xxhash64(*on)
+    joined = left.withColumn("__tag", tag).join(right.withColumn("__tag", tag), [*on, "__tag"], how)
+    return joined.drop("__tag")
 
 
 def attach_totals(df: DataFrame, by: Sequence[str], *aggregates: Column) -> DataFrame:

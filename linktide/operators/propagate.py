@@ -31,17 +31,19 @@ STEPS_PER_PLAN = 8
 
 
 @contextmanager
-def shuffle_width(spark: SparkSession, width: int) -> Iterator[None]:
-    """Plan the enclosed steps with ``width`` shuffle partitions.
+def planned_for(table: "EntryTable") -> Iterator[None]:
+    """Plan the enclosed steps with the table's number of shuffle partitions.
 
     The entries already have a balanced layout that every step's aggregation
     lines up with, so adaptive re-planning is switched off for the loop, and
     generated classes lose their stage number so that the identical code of
-    successive steps is compiled once.
+    successive steps is compiled once. With many graphs of which one is large,
+    the joins of per-graph values need adaptive skew handling, so it stays on.
     """
+    spark = table.spark
     wanted = {
-        "spark.sql.shuffle.partitions": str(width),
-        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": str(table.width),
+        "spark.sql.adaptive.enabled": str(table.uneven).lower(),
         "spark.sql.codegen.useIdInClassName": "false",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
@@ -81,6 +83,7 @@ class EntryTable:
     width: int
     salted: bool
     n: int
+    uneven: bool = False
     cached: list[DataFrame] = field(default_factory=list)
 
     @property
@@ -122,7 +125,8 @@ class EntryTable:
         wider = self.entries.select("*", *[c.alias(n) for n, c in columns.items()])
         wider = wider.persist(StorageLevel.MEMORY_AND_DISK)
         return EntryTable(
-            wider, self.keys, self.width, self.salted, self.n, [*self.cached, wider]
+            wider, self.keys, self.width, self.salted, self.n, self.uneven,
+            [*self.cached, wider],
         )
 
     def with_static(self, values: DataFrame, columns: list[str]) -> "EntryTable":
@@ -132,7 +136,8 @@ class EntryTable:
         wider = wider.repartition(self.width, *order).sortWithinPartitions(*order)
         wider = wider.persist(StorageLevel.MEMORY_AND_DISK)
         return EntryTable(
-            wider, self.keys, self.width, self.salted, self.n, [*self.cached, wider]
+            wider, self.keys, self.width, self.salted, self.n, self.uneven,
+            [*self.cached, wider],
         )
 
     def release(self) -> None:
@@ -207,7 +212,11 @@ def entry_table(
     chunk = hub or max(ENTRIES_PER_TASK // 4, -(-total // (4 * width)))
     salted = biggest > chunk
     mass = table.groupBy(*keys).agg(F.sum("degree").alias("__mass"), F.count("id").alias("size"))
+    uneven = False
     if keys:
+        mass = settle(mass)
+        largest = mass.agg(F.max("size")).first()[0] or 0
+        uneven = largest > max(SMALLEST_TASK, 2 * n // width)
         table = attach(table, mass, keys)
     else:
         table = table.join(F.broadcast(mass))
@@ -240,7 +249,7 @@ def entry_table(
     merged = links.withColumn("self", F.lit(False)).unionByName(selves, allowMissingColumns=True)
     placed = merged.repartition(width, *order).sortWithinPartitions(*order)
     placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
-    return EntryTable(placed, keys, width, salted, n, [placed])
+    return EntryTable(placed, keys, width, salted, n, uneven, [placed])
 
 
 def spmv(entries: DataFrame, vector: DataFrame) -> DataFrame:

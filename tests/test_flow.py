@@ -1,6 +1,7 @@
 """Files, streams and the registered queries."""
 
 import struct
+from decimal import Decimal
 
 import pytest
 from graphs import DEMO
@@ -38,11 +39,11 @@ def record(neuron, src, dst, amount, valence, block):
 def record_file(tmp_path):
     body = b"".join(record(1, 2, 3, 10**25 + i, (i % 3) - 1, i) for i in range(1000)) + b"partial"
     header = (
-        '[cyb]\ntypes = ["graph"]\nname = "t"\n[[files]]\nname = "readme"\nformat = "md"\n'
-        f'[[files]]\nname = "cyberlinks"\nformat = "bin"\nsize = {len(body)}\n'
+        '[file]\ntypes = ["graph"]\nname = "t"\n[[files]]\nname = "readme"\nformat = "md"\n'
+        f'[[files]]\nname = "links"\nformat = "records"\nsize = {len(body)}\n'
     )
     path = tmp_path / "links.bin"
-    path.write_bytes(header.encode() + b"~~~readme\nhello\n~~~cyberlinks\n" + body)
+    path.write_bytes(header.encode() + b"~~~readme\nhello\n~~~links\n" + body)
     return str(path)
 
 
@@ -57,7 +58,7 @@ def test_link_records_are_read_in_ranges(spark, record_file):
 
 
 def test_tables_round_trip(spark, tmp_path):
-    links = spark.createDataFrame([("a", "x", "y", "T", 5, 1, 9)], "neuron string, src string, dst string, token string, amount decimal(38,0), valence byte, block long")
+    links = spark.createDataFrame([("a", "x", "y", "T", Decimal(5), 1, 9)], "neuron string, src string, dst string, token string, amount decimal(38,0), valence byte, block long")
     links.write.parquet(f"{tmp_path}/links")
     assert read_links(spark, f"{tmp_path}/links").first()["amount"] == 5
     for name, column in (("karma", "kappa"), ("will", "will")):

@@ -604,7 +604,7 @@ def _normalised(table: EntryTable, state: DataFrame) -> DataFrame:
 
 def replace_entries(table: EntryTable, entries: DataFrame) -> EntryTable:
     order = [*table.keys, "id"] + (["salt"] if table.salted else [])
-    placed = entries.repartition(table.width, *order).sortWithinPartitions(*order).persist()
+    placed = entries.repartition(table.width, *order).persist()
     return EntryTable(
         placed, table.keys, table.width, table.salted, table.n, table.uneven,
         [*table.cached, placed],

@@ -13,16 +13,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linktide.session import settle, shuffle_partitions
+from linktide.session import settle
 
 SLICE = "__slice"
 
 
 def sliced(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Range-partition by ``by`` then ``order_by`` and freeze the partition number."""
-    count = shuffle_partitions(df.sparkSession)
     keys = [F.col(c) for c in (*by, *order_by)]
-    return settle(df.repartitionByRange(count, *keys).withColumn(SLICE, F.spark_partition_id()))
+    return settle(df.repartitionByRange(*keys).withColumn(SLICE, F.spark_partition_id()))
 
 
 def _within(order_by: Sequence[str], by: Sequence[str]):

@@ -133,7 +133,7 @@ class EntryTable:
         """Entries whose rows also hold per-graph values (many-graph tables only)."""
         wider = attach(self.entries, values.select(*self.keys, *columns), list(self.keys))
         order = [*self.keys, "id"] + (["salt"] if self.salted else [])
-        wider = wider.repartition(self.width, *order).sortWithinPartitions(*order)
+        wider = wider.repartition(self.width, *order)
         wider = wider.persist(StorageLevel.MEMORY_AND_DISK)
         return EntryTable(
             wider, self.keys, self.width, self.salted, self.n, self.uneven,
@@ -247,7 +247,7 @@ def entry_table(
         )
         order.append("salt")
     merged = links.withColumn("self", F.lit(False)).unionByName(selves, allowMissingColumns=True)
-    placed = merged.repartition(width, *order).sortWithinPartitions(*order)
+    placed = merged.repartition(width, *order)
     placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
     return EntryTable(placed, keys, width, salted, n, uneven, [placed])
 

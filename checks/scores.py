@@ -15,7 +15,6 @@ from linktide.operators import measures as M
 from linktide.operators import neighbourhood as NB
 from linktide.operators import truth as T
 from linktide.operators import value as V
-from linktide.plans.derived import ORDER
 
 
 @query("syntropy", "SELECT round(sum(CASE WHEN focus > 0 THEN focus * ln((SELECT count(*) FROM phi) * focus) ELSE 0 END), 9) AS syntropy FROM phi", "phi")

@@ -341,11 +341,15 @@ def spectrum(table: EntryTable, params: FocusParams = FocusParams()) -> Spectrum
 
 @dataclass
 class Focus:
-    """``nodes(id, focus, diffusion, springs, heat)`` and what was run."""
+    """``nodes(id, focus, diffusion, springs, heat)`` and what was run.
+
+    ``spectra`` replaces ``spectrum`` for a many-graph run.
+    """
 
     nodes: DataFrame
     spectrum: Spectrum | None
     steps: int
+    spectra: DataFrame | None = None
 
 
 def diffusion_step(table: EntryTable, phi: DataFrame, alpha: float = 0.15) -> DataFrame:
@@ -639,8 +643,7 @@ def focus(
         done = run_focus(table, counts, found.select(*keys, "lambda_max"), params, start, prior)
         done.spectra = found
     else:
-        if steps is None or params.heat:
-            found = spectrum(table, params)
+        found = spectrum(table, params)
         done = run_focus(
             table, found.steps if steps is None else steps, found.lambda_max, params, start,
             prior, tolerance,

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linktide.llm import exact, mixing, ordinal, packing, quality_rules, sharding, simhash, url_filter
+from linktide.llm import (
+    exact,
+    html_text,
+    mixing,
+    ordinal,
+    packing,
+    quality_rules,
+    sharding,
+    simhash,
+    suffix,
+    url_filter,
+)
 from linktide.llm.common import table, text_of, word_count
 from linktide.session import settle
 
@@ -103,6 +114,25 @@ def op4_uniform_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_page_text")
+def op5_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op6_suffix_repeats")
+def op6_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    size = F.octet_length(text_of()).cast("bigint")
+    done = suffix.remove_repeats(docs)
+    return done.select(
+        "doc_id",
+        size.alias("n_bytes"),
+        (size - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op7_packing")
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = settle(table(spark, folder, "documents").select("doc_id", word_count().alias("n_words")))

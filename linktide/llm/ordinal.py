@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,51 +14,67 @@ from pyspark.sql import functions as F
 
 #: Hash space of the features, labelled rows used for fitting at most, and the
 #: documents of the sample in which a feature must occur to get a weight.
-FEATURES = 1 << 18
-SAMPLE = 16_384
+FEATURES = 1 << 20
+SAMPLE = 12_288
 LEAST_DOCUMENTS = 4
 #: Steps, step size and penalty of the fit.
-STEPS = 300
-RATE = 0.05
-PENALTY = 2e-4
+STEPS = 200
+RATE = 0.1
+PENALTY = 1e-4
+#: Lengths of word beginnings that are features, and how many distinct words of
+#: a text must share one for it to count again.
+PREFIXES = (4, 5, 6, 7, 8, 9)
+SHARED_BY = (2, 4)
+#: Features that a property of the whole text counts for, against hundreds of words.
+SHAPE_COPIES = 8
 #: A document is selected if P(grade >= GOOD) reaches TAIL.
 GOOD = 2
 TAIL = 0.5
 
-_LETTERS = bytes(b for b in range(256) if chr(b).isalpha() and b < 128) + bytes(range(128, 256))
-_SPACE = b" \t\n\x0b\f\r"
-_DIGITS = b"0123456789"
-_CAPITALS = bytes(range(65, 91))
+_OUTER = ".,;:!?\"'()[]{}*$%&#|<>"
+_SPREAD = 0x9E3779B1
 
 
-def text_features(text: bytes | None) -> np.ndarray:
+def _hashed(names: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh32_intdigest(n) for n in names), dtype=np.uint64, count=len(names))
+
+
+def text_features(text: str | None) -> np.ndarray:
     """Distinct hashed features of a whole text.
 
-    Words (lower-cased, outer punctuation off), and the shape of the text in
-    steps: shares of symbols, capitals and digits, distinct words, mean word
-    length. An empty or null text has shape features only.
+    Words (lower-cased, outer punctuation off), beginnings of distinct words and
+    how many share them, and the shape of the text in steps: shares of symbols,
+    capitals and digits, distinct words, mean word length. An empty or null text
+    has shape features only.
     """
-    raw = text or b""
+    raw = text or ""
     words = raw.split()
     kinds = set(raw.lower().split())
-    found = {w.strip(b".,;:!?\"'()[]") for w in kinds}
-    solid = max(1, len(raw) - sum(raw.count(s) for s in (b" ", b"\n", b"\t", b"\r")))
-    letters = solid - len(raw.translate(None, _LETTERS + _DIGITS + _SPACE))
-    capitals = len(raw) - len(raw.translate(None, _CAPITALS))
-    digits = len(raw) - len(raw.translate(None, _DIGITS))
-    marks = raw.count(b"|") + raw.count(b"#") + raw.count(b"*") + raw.count(b"$") + raw.count(b"%") + raw.count(b"&")
-    step = lambda x, n: b"%d" % min(n, int(n * x))
+    found = {w.strip(_OUTER) for w in kinds}
+    starts: Counter[str] = Counter()
+    for n in PREFIXES:
+        starts.update([w[:n] for w in found if len(w) > n])
+    starts.update(["\0" + w[len(w.rstrip(_OUTER)) :] for w in kinds])  # signs at the end of a word
+    data = raw.encode("utf-8", "replace")
+    solid = max(1, len(data.translate(None, b" \t\n\x0b\f\r")))
+    capitals = len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    digits = len(data) - len(data.translate(None, b"0123456789"))
+    marks = len(data) - len(data.translate(None, b"#*$%&|<>!"))
+    step = lambda x, n: f"{min(n, int(n * x))}"
     size = len(words)
     shape = [
-        b"\0symbols " + step(1 - letters / solid, 20),
-        b"\0capitals " + step(capitals / solid, 10),
-        b"\0digits " + step(digits / solid, 10),
-        b"\0marks " + step(min(1.0, marks / max(1, size)), 10),
-        b"\0kinds " + step(len(kinds) / max(1, size), 10) + b" " + b"%d" % min(6, int(np.log10(size + 1) * 2)),
-        b"\0length " + b"%d" % min(20, solid // max(1, size)),
+        "\0marks " + step(marks / solid, 20),
+        "\0capitals " + step(capitals / solid, 10),
+        "\0digits " + step(digits / solid, 10),
+        "\0kinds " + step(len(kinds) / max(1, size), 10) + f" {min(6, int(np.log10(size + 1) * 2))}",
+        f"\0length {min(20, solid // max(1, size))}",
     ]
-    hashes = [xxhash.xxh32_intdigest(f) % FEATURES for f in [*found, *shape]]
-    return np.unique(np.array(hashes, dtype=np.int32))
+    shape = [f"{name} {i}" for name in shape for i in range(SHAPE_COPIES)]
+    begun = _hashed(["^" + p for p in starts])
+    times = np.fromiter(starts.values(), dtype=np.int64, count=len(starts))
+    shared = [begun[times >= n] * np.uint64(_SPREAD) + np.uint64(n) for n in SHARED_BY]
+    hashes = np.concatenate([_hashed([*found, *shape]), begun, *shared])
+    return np.unique((hashes ^ (hashes >> np.uint64(20))) % np.uint64(FEATURES)).astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -93,7 +110,7 @@ def fit_ordinal(
     kept = [place[r][place[r] >= 0] for r in rows]
     scale = np.array([SCALE / np.sqrt(max(1, len(r))) for r in rows])
     index = np.concatenate([*kept, np.zeros(0, np.int64)])
-    owner = np.repeat(np.arange(len(rows)), [len(k) for k in kept])
+    owner = np.repeat(np.arange(len(rows)), [len(k) for k in kept]).astype(np.int32)
     share = np.bincount(grades, minlength=n_grades) + 1.0
     start = np.cumsum(share)[:-1] / share.sum()
     cuts = np.log(start / (1 - start))
@@ -149,7 +166,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
     """
     spark = docs.sparkSession
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("grade", F.col("text").cast("binary").alias("text"), "doc_id")
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("grade", "text", "doc_id")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,8 +209,7 @@ def rate(docs: DataFrame, model: Ordinal | None, text: str | Column = "text", go
         below = own.cumulative(scores)
         return pd.DataFrame({"expected_grade": (1 - below).sum(axis=1), "tail": 1 - below[:, good - 1]})
 
-    source = (F.col(text) if isinstance(text, str) else text).cast("binary")
-    rows = docs.select(*given, judged(source).alias("__rated"))
+    rows = docs.select(*given, judged(text).alias("__rated"))
     return rows.select(*given, "__rated.expected_grade", "__rated.tail")
 
 

@@ -23,6 +23,12 @@ def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def others(df: DataFrame, *outputs: str) -> list[str]:
+    """Columns of ``df`` that keep their place beside ``outputs``, whatever their case."""
+    taken = {name.lower() for name in outputs}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linktide.llm.common import SPACES, text_of
+from linktide.llm.common import SPACES, others, text_of
 
 #: A text held by more than this share of the rows is certainly found by the
 #: Misra-Gries summary, which keeps 1 / SUPPORT counters; at most that many
@@ -26,7 +26,7 @@ def mark_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     are broadcast, and the other rows of their groups are settled map-side. Only
     winners and the rows of rare texts are shuffled.
     """
-    given = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    given = others(docs, "keep_id", "group_size", "kept", "text_sha256")
     rows = docs.select(
         *given,
         F.sha2(F.translate(text_of(), SPACES, ""), 256).alias("text_sha256"),

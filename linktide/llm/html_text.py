@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linktide.llm.common import others
+
 #: Fixed values of HTML and of common page layouts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -202,6 +204,6 @@ def extracted(html: str | Column = "html") -> Column:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Every row with ``text`` and ``n_chars``; rows are independent, nothing is shuffled."""
-    given = [c for c in pages.columns if c not in ("text", "n_chars")]
+    given = others(pages, "text", "n_chars")
     rows = pages.select(*given, extracted().alias("text"))
     return rows.withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linktide.llm.common import unit_hash, word_count
+from linktide.llm.common import others, unit_hash, word_count
 from linktide.operators.keyed import attach
 from linktide.operators.ordering import numbered
 from linktide.session import settle
@@ -21,14 +21,14 @@ MOST_REPEATS = 3
 def source_rates(
     sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS
 ) -> DataFrame:
-    """(``__none``, ``__name``, ``source_size``, ``target``, ``rate``), a row per source.
+    """(``__none, __name, __source_size, __target, __rate``), a row per source.
 
     A null source is a source of its own and comes last. Targets share the sum
     of all sizes by weight; what exceeds ``most`` times a source goes to the
     others by weight until no target is above. Each round is one aggregate of
     one row; a round caps at least one source, or it is the last.
     """
-    totals = settle(sizes.groupBy("__none", "__name").agg(F.sum("size").alias("source_size")))
+    totals = settle(sizes.groupBy("__none", "__name").agg(F.sum("size").alias("__source_size")))
     cycle = F.array(*[F.lit(w).cast("bigint") for w in weights])
     ranked = numbered(totals, ["__none", "__name"], "__rank")
     ranked = settle(
@@ -37,13 +37,13 @@ def source_rates(
         )
     )
     wide = lambda c: F.col(c).cast("decimal(20,0)")  # noqa: E731 - products outgrow a bigint
-    cap = F.col("source_size") * most
+    cap = F.col("__source_size") * most
     share, weight, capped = 0, 0, -1
-    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    total = ranked.agg(F.sum("__source_size")).first()[0] or 0
     while True:
         full = F.lit(False) if capped < 0 else (
             wide("__weight") * F.lit(share).cast("decimal(20,0)")
-            >= wide("source_size") * most * F.lit(weight).cast("decimal(18,0)")
+            >= wide("__source_size") * most * F.lit(weight).cast("decimal(18,0)")
         )
         taken, open_weight, now = ranked.agg(
             F.coalesce(F.sum(F.when(full, cap)), F.lit(0)),
@@ -55,9 +55,9 @@ def source_rates(
         share, weight, capped = total - taken, open_weight, now
     level = F.lit(share).cast("double") / F.lit(max(weight, 1)).cast("double")
     target = F.least(F.col("__weight").cast("double") * level, cap.cast("double"))
-    target = F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0))
-    return ranked.select("__none", "__name", "source_size", target.alias("target")).withColumn(
-        "rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+    target = F.when(F.col("__source_size") > 0, target).otherwise(F.lit(0.0))
+    return ranked.select("__none", "__name", "__source_size", target.alias("__target")).withColumn(
+        "__rate", F.coalesce(F.try_divide("__target", "__source_size"), F.lit(0.0))
     )
 
 
@@ -77,8 +77,7 @@ def planned_copies(
     without any words has target and rate 0. The table of sources is joined
     with a tag that lets adaptive execution split a hot source.
     """
-    added = ("size", "source_size", "target", "copies")
-    given = [c for c in docs.columns if c not in added]
+    given = others(docs, "size", "source_size", "target", "copies")
     measured = docs.select(
         *given,
         (word_count() if size is None else size).alias("size"),
@@ -88,13 +87,13 @@ def planned_copies(
         .alias("__draw"),
     )
     rates = source_rates(measured.select("__none", "__name", "size"), weights, most)
-    whole = F.floor("rate")
-    extra = F.when(F.col("__draw") < F.col("rate") - whole, 1).otherwise(0)
+    whole = F.floor("__rate")
+    extra = F.when(F.col("__draw") < F.col("__rate") - whole, 1).otherwise(0)
     return attach(measured, rates, ["__none", "__name"], "inner").select(
         *given,
         "size",
-        "source_size",
-        "target",
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
         F.least(whole + extra, F.lit(most)).cast("bigint").alias("copies"),
     )
 

@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linktide.llm.common import others
+
 #: Hash space of the features, labelled rows used for fitting at most, and the
 #: documents of the sample in which a feature must occur to get a weight.
 FEATURES = 1 << 20
@@ -166,7 +168,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
     """
     spark = docs.sparkSession
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("grade", "text", "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text", "doc_id")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -196,7 +198,7 @@ def rate(docs: DataFrame, model: Ordinal | None, text: str | Column = "text", go
 
     Without a model (no rated document) both are null. Texts are read whole, map-side.
     """
-    given = [c for c in docs.columns if c not in ("expected_grade", "tail")]
+    given = others(docs, "expected_grade", "tail")
     if model is None:
         none = F.lit(None).cast("double")
         return docs.select(*given, none.alias("expected_grade"), none.alias("tail"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linktide.llm.common import numbered_within, unit_hash, word_count
+from linktide.llm.common import numbered_within, others, unit_hash, word_count
 
 #: Length buckets, padded tokens of a batch.
 BUCKETS = 16
@@ -89,8 +89,7 @@ def pack(
     document has a batch of its own. Empty and null texts have length 0. Each
     row is packed exactly once; repeated rows are interchangeable.
     """
-    added = ("n_tokens", "bucket", "bucket_length", "batch", "slot")
-    given = [c for c in docs.columns if c not in added]
+    given = others(docs, "n_tokens", "bucket", "bucket_length", "batch", "slot")
     measured = docs.select(*given, (word_count() if length is None else length).alias("n_tokens"))
     bins = histogram(measured.select("n_tokens"), exact).orderBy("longest").collect()
     edges = bucket_edges(

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linktide.llm.common import SPACES, let, text_of, words_of
+from linktide.llm.common import SPACES, let, others, text_of, words_of
 from linktide.operators.keyed import attach
 
 SYMBOLS = "#*$%&|<>"
@@ -171,7 +171,7 @@ def judge(
     a stratum no cutoff is safe, and only the base rules reject.
     """
     limits = safe_cutoffs(measured, labels, stratum, cutoffs, **promise)
-    given = [c for c in measured.columns if c not in ("base_failed", "kept")]
+    given = others(measured, "base_failed", "kept")
     named = limits.select(stratum, *[F.col(r).alias(f"__limit_{r}") for r in cutoffs])
     rows = attach(measured.select(*given), named, [stratum], "left")
     above = F.lit(False)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linktide.llm.common import numbered_within
+from linktide.llm.common import numbered_within, others
 from linktide.session import settle
 
 SEED = 20_240_601
@@ -77,7 +77,7 @@ def uniform_shards(docs: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     row a random place; the exchange then permutes inside the shard by place.
     Values of the rows play no part: nulls and repeated rows are as any other.
     """
-    given = [c for c in docs.columns if c not in ("shard", "slot")]
+    given = others(docs, "shard", "slot")
     fixed = settle(docs.select(*given))
     parts = fixed.select(F.spark_partition_id().alias("part")).groupBy("part").count().collect()
     counts = np.zeros(max([r["part"] for r in parts], default=0) + 1, dtype=np.int64)

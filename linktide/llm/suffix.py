@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linktide.llm.common import discard, text_of, written
+from linktide.llm.common import discard, others, text_of, written
 from linktide.operators.keyed import attach
 
 #: Bytes of a repeated string, and of an anchor's gram.
@@ -469,7 +469,7 @@ def remove_repeats(
     """
     if not 8 <= gram <= length:
         raise ValueError("gram must be between 8 and length")
-    given = [c for c in docs.columns if c not in ("spans", "kept")]
+    given = others(docs, "spans", "kept")
     found = _repeated_spans(docs, length, gram, crowd, support)
     rows = attach(_keyed(docs.select(*given)), found, ["__id", "__tag"], "left")
 

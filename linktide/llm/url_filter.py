@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linktide.llm.common import others
 from linktide.operators.keyed import attach
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,7 +58,7 @@ def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     parsed = urls.select("url").where("url is not null").distinct().select(
         "url", host.alias("__host"), path.alias("__path")
     )
-    made = F.array_compact(F.array(F.lit(None).cast("string"), *[_expression(*sorted_pair) for sorted_pair in sorted(lengths)]))
+    made = F.array_compact(F.array(F.lit(None).cast("string"), *[_expression(*pair) for pair in sorted(lengths)]))
     expressions = parsed.select("url", F.explode(made).alias("__digest"))
     near = expressions.withColumn("__short", F.left("__digest", F.lit(PREFIX))).join(
         listed.withColumn("__short", F.left("__rule_digest", F.lit(PREFIX))), "__short"
@@ -79,7 +80,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") ->
     Null urls and urls without ``://`` have an empty host and path. Repeated rows
     and repeated urls are judged alike; the join back is split where a url is hot.
     """
-    given = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    given = others(pages, "host", "path", "rule", "verdict")
     host, path = host_and_path(F.col("url"))
     rows = pages.select(*given)
     joined = attach(rows, matched_rules(rows, rules), ["url"], "left")

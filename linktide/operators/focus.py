@@ -58,55 +58,65 @@ class FocusParams:
 LARGEST_CHANGE = 2.0  # L1 distance of two distributions
 
 
-def heat_plan(lambda_max: float, params: FocusParams, size: float = LARGEST_CHANGE) -> tuple[int, int]:
-    """(sub-steps, degree) to smooth a vector of L1 norm ``size``."""
-    s = params.tau * lambda_max / 2
-    if params.heat_span is not None and params.heat_degree is not None:
-        return max(1, math.ceil(s / params.heat_span)), params.heat_degree
-    size = min(size, LARGEST_CHANGE)
-    tail, degree = 0.0, 12 + math.ceil(9 * math.sqrt(s + 1))
-    values = heat_coefficients(s, degree)
-    while degree > 2 and (tail + abs(values[degree])) * size < params.heat_error:
-        tail += abs(values[degree])
-        degree -= 1
-    return 1, degree
-
-
-def heat_coefficients(s: float, degree: int) -> list[float]:
-    """Chebyshev coefficients of exp(-s (x + 1)) by the cosine rule."""
-    points = 4 * degree + 64 + int(2 * s)
-    out = []
-    for k in range(degree + 1):
-        total = sum(
-            math.exp(-s * (math.cos(math.pi * (j + 0.5) / points) + 1))
-            * math.cos(k * math.pi * (j + 0.5) / points)
-            for j in range(points)
-        )
-        out.append((1 if k == 0 else 2) * total / points)
-    return out
+@dataclass(frozen=True)
+class HeatSeries:
+    """Chebyshev series of exp(-s (x + 1)) on [-1, 1].
+
+    ``rest[d]`` is the sum of the absolute coefficients beyond degree ``d``.
+    """
 
+    coefficients: list[float]
+    rest: list[float]
 
-def heat_coefficient_column(s: Column, degree: int, points: int) -> Column:
-    """The same coefficients as an array column, for many graphs at once."""
+    def degree(self, error: float, size: float = LARGEST_CHANGE) -> int:
+        """Lowest degree, two at least, that smooths a vector of L1 norm ``size`` to ``error``."""
+        size = min(size, LARGEST_CHANGE)
+        fits = (d for d, rest in enumerate(self.rest) if d >= 2 and rest * size < error)
+        return next(fits, len(self.coefficients) - 1)
 
-    def term(k: int) -> Column:
-        total = F.aggregate(
-            F.sequence(F.lit(0), F.lit(points - 1)),
-            F.lit(0.0),
-            lambda acc, j: acc
-            + F.exp(-s * (F.cos((j + 0.5) * (math.pi / points)) + 1))
-            * F.cos((j + 0.5) * (k * math.pi / points)),
-        )
-        return total * ((1 if k == 0 else 2) / points)
 
-    return F.array(*[term(k) for k in range(degree + 1)])
+def heat_series(s: float) -> HeatSeries:
+    """All coefficients that a double can hold.
+
+    They are (2 - [k = 0]) (-1)^k e^-s I_k(s). The ratios I_k / I_(k-1) come from
+    the downward recurrence, which is stable, and the sum of all terms fixes the
+    scale. Time grows with the square root of ``s``.
+    """
+    order = 40 + math.ceil(40 * math.sqrt(max(s, 0.0)))
+    ratios = [0.0] * (order + 1)
+    for k in range(order - 1, 0, -1):
+        ratios[k] = s / (2 * k + s * ratios[k + 1])
+    bessel = np.cumprod([1.0, *ratios[1:order]])
+    size = np.where(np.arange(order) > 0, 2.0, 1.0) * bessel / (2 * bessel.sum() - bessel[0])
+    tail = np.cumsum(size[::-1])[::-1]
+    return HeatSeries((size * (-1.0) ** np.arange(order)).tolist(), [*tail[1:].tolist(), 0.0])
+
+
+def heat_pieces(bound: float, params: FocusParams) -> tuple[int, HeatSeries, int]:
+    """(sub-steps, series of one, degree) of the heat map for a spectrum within [0, bound]."""
+    s = params.tau * bound / 2
+    stepwise = params.heat_span is not None and params.heat_degree is not None
+    pieces = max(1, math.ceil(s / params.heat_span)) if stepwise else 1
+    series = heat_series(s / pieces)
+    return pieces, series, params.heat_degree if stepwise else series.degree(params.heat_error)
+
+
+def heat_coefficient_column(s: Column, degree: int) -> Column:
+    """The first coefficients as an array column, for many graphs at once."""
+
+    @F.pandas_udf("array<double>")
+    def first(values: pd.Series) -> pd.Series:
+        rows = [(heat_series(v).coefficients + [0.0] * (degree + 1))[: degree + 1] for v in values]
+        return pd.Series(rows, dtype=object)
+
+    return first(s)
 
 
 def start_value(id_type: str) -> Column:
-    """Fixed non-constant start 1..7, decided by the id alone."""
-    if id_type in ("bigint", "int", "smallint", "tinyint"):
-        return (F.pmod(F.col("id"), F.lit(7)) + 1).cast("double")
-    return (F.pmod(F.hash("id"), F.lit(7)) + 1).cast("double")
+    """Fixed start in [0.5, 1.5), spread by the golden ratio and decided by the id alone."""
+    integral = id_type in ("bigint", "int", "smallint", "tinyint")
+    turn = (F.col("id") if integral else F.xxhash64("id") % 1_000_003).cast("double") * 0.6180339887498949
+    return turn - F.floor(turn) + 0.5
 
 
 def _per_graph(table: EntryTable, state: DataFrame, *aggregates: Column) -> DataFrame | dict:
@@ -232,9 +242,7 @@ def krylov_ends(table: EntryTable, steps: int = 24):
     eigenproblem, which has ``steps`` rows.
     """
     keys = list(table.keys)
-    top = _per_graph(
-        table, table.entries.where("self"), (2 * F.max("degree")).alias("bound")
-    )
+    top = spectral_bound(table)
     start = table.per_node(x=start_value(dict(table.entries.dtypes)["id"]))
     mean = _per_graph(table, start, F.avg("x").alias("__a"), F.count("x").alias("__n"))
     state = _drop(
@@ -243,7 +251,7 @@ def krylov_ends(table: EntryTable, steps: int = 24):
     if keys:
         wide = with_heat_entries(table.with_static(table.settle(top), ["bound"]), F.col("bound"))
     else:
-        wide = with_heat_entries(table, F.lit(top["bound"] or 0.0))
+        wide = with_heat_entries(table, F.lit(top))
     image = arriving("h", F.col("cur"))
     state = table.settle(state.select("*", F.col("x").alias("cur")).drop("x"))
     found = None
@@ -277,7 +285,7 @@ def krylov_ends(table: EntryTable, steps: int = 24):
             found = {**(found or {}), **part}
         state = state.drop(*names)
         done += count
-    wide.entries.unpersist()
+    wide.release_beyond(table)
 
     def unfold(raw: np.ndarray) -> np.ndarray:
         out = 2 * raw
@@ -288,7 +296,7 @@ def krylov_ends(table: EntryTable, steps: int = 24):
 
     if not keys:
         low, high = _ritz_ends(unfold(np.array([found[f"m{i}"] or 0.0 for i in range(2 * steps)])), steps)
-        half = (top["bound"] or 0.0) / 2
+        half = top / 2
         return half * (1 + high), max(0.0, half * (1 + low))
 
     @F.pandas_udf("struct<low double, high double>")
@@ -318,14 +326,20 @@ def kappa_of(lmax: float, l2: float, p: FocusParams) -> float:
     return p.diffusion * p.alpha + p.springs * spring + p.heat * math.exp(-p.tau * l2)
 
 
-def steps_for(kappa: float, epsilon: float, cap: int) -> int:
+def step_count(kappa: float, epsilon: float, cap: int) -> int:
+    """Smallest number of steps after which ``kappa`` to its power is at most ``epsilon``."""
     if kappa >= 1:
         return cap
-    steps, left = 0, 1.0
-    while left > epsilon and steps < cap:
-        left *= kappa
-        steps += 1
-    return steps
+    if kappa <= 0:
+        return min(cap, 1)
+    about = math.ceil(math.log(epsilon) / math.log(kappa))
+    return min(cap, next(t for t in range(max(0, about - 1), about + 3) if kappa**t <= epsilon))
+
+
+def spectral_bound(table: EntryTable):
+    """Twice the largest degree, which no Laplacian eigenvalue exceeds: a float, or (keys, bound)."""
+    found = _per_graph(table, table.entries.where("self"), (2 * F.max("degree")).alias("bound"))
+    return found if table.keys else found["bound"] or 0.0
 
 
 def spectrum(table: EntryTable, params: FocusParams = FocusParams()) -> Spectrum:
@@ -336,7 +350,7 @@ def spectrum(table: EntryTable, params: FocusParams = FocusParams()) -> Spectrum
         top = lambda_max(table, params.power_steps)
         gap = lambda_2(table, top, params.gap_steps)
     kappa = kappa_of(top, gap, params)
-    return Spectrum(top, gap, kappa, steps_for(kappa, params.epsilon, params.step_cap))
+    return Spectrum(top, gap, kappa, step_count(kappa, params.epsilon, params.step_cap))
 
 
 @dataclass
@@ -391,24 +405,29 @@ def springs_step(table: EntryTable, phi: DataFrame, mu: float = 1.0) -> DataFram
 
 
 def heat_step(
-    table: EntryTable, phi: DataFrame, top: float, params: FocusParams = FocusParams()
+    table: EntryTable, phi: DataFrame, top: float | None = None, params: FocusParams = FocusParams()
 ) -> DataFrame:
-    """exp(-tau L) phi by Chebyshev sub-steps; the identity when ``top`` is 0."""
+    """exp(-tau L) phi by Chebyshev sub-steps; the identity when ``top`` is 0.
+
+    ``top`` must not be below the largest eigenvalue: a Ritz value is not enough,
+    a series of high degree explodes just outside its interval.
+    """
+    top = spectral_bound(table) if top is None else top
     state = table.state_of(phi, v=F.coalesce("x", F.lit(0.0)))
     if top == 0:
         return state.select("id", F.col("v").alias("x"))
-    pieces, degree = heat_plan(top, params)
-    coefficients = heat_coefficients(params.tau * top / 2 / pieces, degree)
+    pieces, series, degree = heat_pieces(top, params)
     wide = with_heat_entries(table, F.lit(top))
     runner = _Chain(wide)
     state = state.withColumnRenamed("v", "acc")
+    coefficients = F.array(*map(F.lit, series.coefficients[: degree + 1]))
     for _ in range(pieces):
-        state = _smooth(runner, state, F.array(*map(F.lit, coefficients)), degree, {}, {})
+        state = _smooth(runner, state, coefficients, degree, {}, {})
     return state.select("id", F.col("acc").alias("x"))
 
 
 def with_heat_entries(table: EntryTable, top: Column) -> EntryTable:
-    """Add ``h``, the entries of 2L/top - I."""
+    """Add ``h``, the entries of 2L/top - I, computed as they are read."""
     two = ratio(F.lit(2.0), top)
     return table.derive(
         h=F.when(F.col("self"), two * F.col("degree") - 1).otherwise(-two * F.col("s"))
@@ -481,20 +500,26 @@ def run_focus(
     start: DataFrame | None = None,
     prior: DataFrame | None = None,
     tolerance: float | None = None,
+    lost: float = 0.0,
 ) -> Focus:
     """Iterate the blended step from the uniform vector or from ``start(id, x)``.
 
     ``prior(id, prior)`` replaces the teleport distribution. ``steps`` and
-    ``top`` are numbers for one graph; for a many-graph table they are tables
-    ``(keys, steps)`` and ``(keys, lambda_max)``, each graph stops at its own
-    step count, and all graphs advance together.
+    ``top``, an upper bound of the spectrum, are numbers for one graph; for a
+    many-graph table they are tables ``(keys, steps)`` and ``(keys, bound)``,
+    each graph stops at its own step count, and all graphs advance together.
+
+    Self entries with ``held`` keep their value, those with ``offset`` add it in
+    every step, and then nothing is rescaled (see ``local_focus``); ``lost`` is
+    the dangling mass elsewhere.
     """
     with planned_for(table):
-        return _run_focus(table, steps, top, params, start, prior, tolerance)
+        return _run_focus(table, steps, top, params, start, prior, tolerance, lost)
 
 
-def _run_focus(table, steps, top, params, start, prior, tolerance) -> Focus:
+def _run_focus(table, steps, top, params, start, prior, tolerance, lost) -> Focus:
     keys = list(table.keys)
+    given_table, part = table, "held" in table.entries.columns
     if prior is not None:
         given = prior.select(*keys, "id", F.col("prior").alias("__p"))
         swapped = table.entries.join(given, [*keys, "id"], "left").withColumn(
@@ -503,23 +528,19 @@ def _run_focus(table, steps, top, params, start, prior, tolerance) -> Focus:
         table = replace_entries(table, swapped.drop("__p"))
     if keys:
         limits = steps.join(top, keys)
-        bound = limits.agg(F.max("steps").alias("t"), F.max("lambda_max").alias("l")).first()
-        total_steps, widest = bound["t"] or 0, bound["l"] or 0.0
-        pieces, degree = heat_plan(widest, params)
-        points = 4 * degree + 64 + int(params.tau * widest / pieces)
-        column = heat_coefficient_column(
-            F.col("lambda_max") * (params.tau / 2 / pieces), degree, points
-        )
+        most = limits.agg(F.max("steps").alias("t"), F.max("bound").alias("b")).first()
+        total_steps, widest = most["t"] or 0, most["b"] or 0.0
+        pieces, series, degree = heat_pieces(widest, params)
+        column = heat_coefficient_column(F.col("bound") * (params.tau / 2 / pieces), degree)
         limits = table.settle(limits.withColumn("coef", column))
         wide = with_heat_entries(
-            table.with_static(limits, ["lambda_max", "steps", "coef"]), F.col("lambda_max")
+            table.with_static(limits, ["bound", "steps", "coef"]), F.col("bound")
         )
         coefficients = F.col("coef")
     else:
         total_steps, widest = steps, float(top)
-        pieces, degree = heat_plan(widest, params)
-        values = heat_coefficients(params.tau * widest / 2 / pieces, degree)
-        coefficients = F.array(*map(F.lit, values))
+        pieces, series, degree = heat_pieces(widest, params)
+        coefficients = F.array(*map(F.lit, series.coefficients[: degree + 1]))
         wide = with_heat_entries(table, F.lit(widest))
 
     copies = ["copies"] if table.salted else []
@@ -547,9 +568,11 @@ def _run_focus(table, steps, top, params, start, prior, tolerance) -> Focus:
     last = {"dangling": static("dangling")}
     if keys:
         last["limit"] = static("steps")
+    if part:
+        last.update(held=static("held"), offset=static("offset"))
     used = 0
     for t in range(total_steps):
-        state = _normalised(table, state)
+        state = _normalised(table, state, lost if part else None)
         drift = 1.0
         if params.heat_degree is None or tolerance is not None:
             drift = state.agg(F.sum(F.abs(F.col("v") - F.col("before")))).first()[0] or 0.0
@@ -557,7 +580,8 @@ def _run_focus(table, steps, top, params, start, prior, tolerance) -> Focus:
                 break
         # The heat map is linear: only the change since the last step is smoothed,
         # and a smaller change needs a lower degree for the same error.
-        degree = heat_plan(widest, params, drift)[1]
+        if params.heat_degree is None:
+            degree = series.degree(params.heat_error, drift)
         state = state.select(
             *keys, "id", "v", "heated", "diffusion", "springs", "lost",
             (F.col("v") - F.col("before")).alias("moved"), *copies,
@@ -576,6 +600,8 @@ def _run_focus(table, steps, top, params, start, prior, tolerance) -> Focus:
         )
         if keys:
             blend = F.when(F.lit(t) < F.col("limit"), blend).otherwise(F.col("v"))
+        if part:
+            blend = F.when(F.col("held"), F.col("v")).otherwise(blend + F.col("offset"))
         state = table.settle(
             state.select(
                 *keys, "id", blend.alias("raw"), "dangling", F.col("v").alias("before"),
@@ -583,14 +609,23 @@ def _run_focus(table, steps, top, params, start, prior, tolerance) -> Focus:
             )
         )
         used = t + 1
-    result = _normalised(table, state) if "v" not in state.columns else state
-    wide.entries.unpersist()
+    result = _normalised(table, state, lost if part else None) if "v" not in state.columns else state
+    wide.release_beyond(given_table)
     columns = [F.col("v").alias("focus"), "diffusion", "springs", F.col("heated").alias("heat")]
     return Focus(result.select(*keys, "id", *columns), None, used)
 
 
-def _normalised(table: EntryTable, state: DataFrame) -> DataFrame:
-    """v = raw / sum of raw, and ``lost`` = the part of v on dangling nodes."""
+def _normalised(table: EntryTable, state: DataFrame, elsewhere: float | None = None) -> DataFrame:
+    """v = raw / sum of raw, and ``lost`` = the part of v on dangling nodes.
+
+    In a part of a graph nothing is rescaled; ``elsewhere`` is the dangling mass
+    of the rest, held nodes are part of it.
+    """
+    if elsewhere is not None:
+        inner = table.entries.where("self AND dangling AND NOT held").select("id")
+        row = state.join(inner, "id", "left_semi").agg(F.sum("raw")).first()
+        ready = state.withColumn("v", F.col("raw")).withColumn("lost", F.lit(elsewhere + (row[0] or 0.0)))
+        return ready.drop("raw", "dangling")
     sums = _per_graph(
         table,
         state,
@@ -639,13 +674,15 @@ def focus(
         return Focus(empty, Spectrum(0.0, 0.0, 0.0, 0), 0)
     if keys:
         found = spectra(table, params)
-        counts = found.select(*keys, F.lit(steps).alias("steps") if steps else F.col("steps"))
-        done = run_focus(table, counts, found.select(*keys, "lambda_max"), params, start, prior)
+        counts = found.select(
+            *keys, (F.col("steps") if steps is None else F.lit(steps)).alias("steps")
+        )
+        done = run_focus(table, counts, table.settle(spectral_bound(table)), params, start, prior)
         done.spectra = found
     else:
         found = spectrum(table, params)
         done = run_focus(
-            table, found.steps if steps is None else steps, found.lambda_max, params, start,
+            table, found.steps if steps is None else steps, spectral_bound(table), params, start,
             prior, tolerance,
         )
         done.spectrum = found

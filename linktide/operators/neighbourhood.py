@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linktide.operators.keyed import attach
 from linktide.session import settle
 
-MAX_ROUNDS = 10_000
+PIECES = 8  # tables of one size that are joined into a larger one
 
 
 def undirected(adj: DataFrame) -> DataFrame:
@@ -31,13 +35,11 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 def neighborhood(adj: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(id, hop) of every node within ``hops`` undirected links of ``seeds(id)``."""
     arcs = settle(both_ways(undirected(adj)))
-    seen = settle(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
-    for h in range(1, hops + 1):
-        frontier = seen.where(F.col("hop") == h - 1).select("id")
-        reached = attach(arcs, frontier, ["id"], "inner").select(F.col("to").alias("id")).distinct()
-        fresh = reached.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(h))
-        seen = settle(seen.unionByName(fresh))
-    return seen
+    found = _Pieces()
+    found.add(seeds.select("id", F.lit(0).alias("hop")).limit(0))
+    for hop, nodes in itertools.islice(_hops(arcs, seeds.select("id").distinct()), hops + 1):
+        found.add(nodes.select("id", F.lit(hop).alias("hop")))
+    return found.all()
 
 
 def distances(adj: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
@@ -171,17 +173,48 @@ def diameter_lower_bound(adj: DataFrame) -> DataFrame:
     counts = ends.groupBy("id").agg(F.count(F.lit(1)).alias("__c"))
     start = counts.agg(F.max(F.struct("__c", "id")).alias("__m")).select(F.col("__m.id").alias("id"))
     arcs = settle(both_ways(undirected(adj)))
-    seen = settle(start.where("id IS NOT NULL").withColumn("hop", F.lit(0)))
-    for h in range(1, MAX_ROUNDS):
-        frontier = seen.where(F.col("hop") == h - 1).select("id")
-        reached = attach(arcs, frontier, ["id"], "inner").select(F.col("to").alias("id")).distinct()
-        fresh = settle(
-            reached.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(h))
-        )
-        if fresh.isEmpty():
-            break
-        seen = settle(seen.unionByName(fresh))
-    return seen.agg(F.greatest(F.lit(1), F.coalesce(F.max("hop"), F.lit(1))).alias("diameter"))
+    last = -1
+    for last, _ in _hops(arcs, start.where("id IS NOT NULL")):
+        pass
+    return adj.sparkSession.range(1).select(F.lit(max(1, last)).alias("diameter"))
+
+
+def _hops(arcs: DataFrame, start: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """(hop, nodes first reached at that hop with their smallest parent), until none is new.
+
+    A neighbour of hop h lies at hop h - 1, h or h + 1, so only two frontiers are
+    compared and nothing that was reached earlier is read again.
+    """
+    kind = dict(start.dtypes)["id"]
+    before = None
+    now = settle(start.select("id", F.lit(None).cast(kind).alias("parent")))
+    for hop in itertools.count():
+        if now.isEmpty():
+            return
+        yield hop, now
+        reached = attach(arcs, now.select("id"), ["id"], "inner")
+        found = reached.groupBy(F.col("to").alias("id")).agg(F.min("id").alias("parent"))
+        seen = now.select("id") if before is None else now.select("id").union(before.select("id"))
+        before, now = now, settle(found.join(seen, "id", "left_anti"))
+
+
+class _Pieces:
+    """A table that grows by pieces; equal sizes are merged, so a row is rewritten log times."""
+
+    def __init__(self) -> None:
+        self.levels: list[list[DataFrame]] = []
+
+    def add(self, piece: DataFrame, level: int = 0) -> None:
+        if len(self.levels) == level:
+            self.levels.append([])
+        self.levels[level].append(piece)
+        if len(self.levels[level]) == PIECES:
+            merged = settle(functools.reduce(DataFrame.unionByName, self.levels[level]))
+            self.levels[level] = []
+            self.add(merged, level + 1)
+
+    def all(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [p for level in self.levels for p in level])
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -196,7 +229,7 @@ def components(pairs: DataFrame) -> DataFrame:
     ).distinct()
     everyone = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     stars, mark = settle(start), None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = stars.select("v", "m").union(stars.select("m", "v")).toDF("x", "y")
         least = both.groupBy("x").agg(F.min("y").alias("__low")).select(
             "x", F.least("x", "__low").alias("low")
@@ -229,23 +262,11 @@ def spanning_tree(pairs: DataFrame, root) -> DataFrame:
     arcs = settle(both_ways(pairs))
     spark = pairs.sparkSession
     kind = dict(pairs.dtypes)["a"]
-    seen = spark.createDataFrame([(root, 0, None)], f"id {kind}, hop int, parent {kind}")
-    seen = settle(seen)
-    for h in range(1, MAX_ROUNDS):
-        frontier = seen.where(F.col("hop") == h - 1).select("id")
-        reached = (
-            attach(arcs, frontier, ["id"], "inner")
-            .groupBy(F.col("to").alias("id"))
-            .agg(F.min("id").alias("parent"))
-        )
-        fresh = settle(
-            reached.join(seen.select("id"), "id", "left_anti").select(
-                "id", F.lit(h).alias("hop"), "parent"
-            )
-        )
-        if fresh.isEmpty():
-            break
-        seen = settle(seen.unionByName(fresh))
+    start = spark.createDataFrame([(root,)], f"id {kind}")
+    reached = _Pieces()
+    for _, nodes in _hops(arcs, start):
+        reached.add(nodes)
+    seen = reached.all()
     tree = seen.where("parent IS NOT NULL").select(
         F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"),
         F.lit(True).alias("in_tree"),

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from linktide.operators.graph import node_table, transition
 from linktide.operators.keyed import attach, ratio
-from linktide.session import settle, shuffle_partitions
+from linktide.session import settle
 
 ENTRIES_PER_TASK = 500_000
 SMALLEST_TASK = 25_000
@@ -121,13 +121,8 @@ class EntryTable:
         return settle(state)
 
     def derive(self, **columns: Column) -> "EntryTable":
-        """The same entries with more coefficient columns, cached again."""
-        wider = self.entries.select("*", *[c.alias(n) for n, c in columns.items()])
-        wider = wider.persist(StorageLevel.MEMORY_AND_DISK)
-        return EntryTable(
-            wider, self.keys, self.width, self.salted, self.n, self.uneven,
-            [*self.cached, wider],
-        )
+        """The same cached entries with more coefficient columns, computed as they are read."""
+        return replace(self, entries=self.entries.select("*", *[c.alias(n) for n, c in columns.items()]))
 
     def with_static(self, values: DataFrame, columns: list[str]) -> "EntryTable":
         """Entries whose rows also hold per-graph values (many-graph tables only)."""
@@ -144,6 +139,11 @@ class EntryTable:
         for df in self.cached:
             df.unpersist()
 
+    def release_beyond(self, base: "EntryTable") -> None:
+        """Release what was cached since ``base``."""
+        for df in self.cached[len(base.cached) :]:
+            df.unpersist()
+
 
 def entry_table(
     adj: DataFrame,
@@ -201,13 +201,8 @@ def entry_table(
         n = table.count()
     width = max(
         1,
-        min(
-            shuffle_partitions(spark),
-            max(
-                min(spark.sparkContext.defaultParallelism, -(-total // SMALLEST_TASK)),
-                -(-total // ENTRIES_PER_TASK),
-            ),
-        ),
+        min(spark.sparkContext.defaultParallelism, -(-total // SMALLEST_TASK)),
+        -(-total // ENTRIES_PER_TASK),
     )
     chunk = hub or max(ENTRIES_PER_TASK // 4, -(-total // (4 * width)))
     salted = biggest > chunk

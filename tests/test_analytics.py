@@ -216,10 +216,31 @@ def test_local_and_seeded_focus(spark, make_links):
     lifted = personalized_focus(adj, seeds, base, 0.5, steps=2).nodes
     one, two = ({r["id"]: r["focus"] for r in x.collect()} for x in (base, lifted))
     assert two[4] > one[4]
-    near = local_focus(adj, base, seeds, 1, steps=2)
-    got = {r["id"]: r["focus"] for r in near.collect()}
-    assert abs(sum(got.values()) - 1) < 1e-9
-    assert got[2] == one[2] and got[3] == one[3]
+    strange = spark.createDataFrame([(4,), (99,)], "id bigint")
+    again = personalized_focus(adj, strange, base, 0.5, steps=2).nodes
+    assert {r["id"]: r["focus"] for r in again.collect()} == pytest.approx(two, abs=1e-12)
+
+
+def test_local_focus_moves_only_what_an_edit_moves(spark):
+    ring = [(i, i % 12 + 1, 1.0) for i in range(1, 13)] + [(1, 7, 0.5), (4, 10, 0.5)]
+    frame = lambda rows: spark.createDataFrame(rows, "src bigint, dst bigint, w double")
+    params = FocusParams(tau=0.3)
+    before = frame(ring)
+    base = focus(before, params, steps=12).nodes.select("id", "focus")
+    old = {r["id"]: r["focus"] for r in base.collect()}
+    same = {r["id"]: r["focus"] for r in local_focus(before, before, base, 2, params).collect()}
+    assert same == old
+    after = frame([*ring, (2, 3, 3.0)])
+    full = {r["id"]: r["focus"] for r in focus(after, params, steps=12).nodes.collect()}
+    errors = []
+    for hops in (0, 2, 6):
+        got = {r["id"]: r["focus"] for r in local_focus(before, after, base, hops, params, steps=12).collect()}
+        errors.append(sum(abs(got[i] - full[i]) for i in full))
+    assert errors[2] < errors[1] < errors[0] < sum(abs(old[i] - full[i]) for i in full)
+    assert errors[2] < 1e-4
+    gone = local_focus(before, frame([r for r in ring if 5 not in r[:2]]), base, 1, params, steps=12)
+    left = {r["id"]: r["focus"] for r in gone.collect()}
+    assert left[5] < old[5] and sum(left.values()) < 1.05
 
 
 def test_free_energy_terms(spark):

@@ -5,10 +5,14 @@ from pyspark.sql import functions as F
 from linktide.operators.focus import (
     FocusParams,
     focus,
+    heat_series,
+    heat_step,
     krylov_ends,
     lambda_2,
     lambda_max,
     run_focus,
+    spectral_bound,
+    step_count,
 )
 from linktide.operators.graph import adjacency
 from linktide.operators.impulse import impulse
@@ -52,19 +56,67 @@ def test_steps_agree_with_dense_matrices(spark, make_links, params):
     adj = graph(make_links(links))
     rows = [tuple(r) for r in adj.select("src", "dst", "w").collect()]
     table = entry_table(adj)
-    got = values(run_focus(table, 3, lambda_max(table, 40), params))
+    got = values(run_focus(table, 3, spectral_bound(table), params))
     want = reference_focus(rows, params, 3)
     assert set(got) == set(want)
     assert max(abs(got[k] - want[k]) for k in want) < 1e-6
 
 
+def test_heat_series_is_exact():
+    import numpy as np
+
+    x = np.linspace(-1, 1, 401)
+    for s in (0.0, 1e-6, 0.3, 7.0, 500.0, 30_000.0):
+        series = heat_series(s)
+        for error in (1e-4, 1e-8, 1e-12):
+            d = series.degree(error, 1.0)
+            found = np.polynomial.chebyshev.chebval(x, series.coefficients[: d + 1])
+            assert np.abs(found - np.exp(-s * (x + 1))).max() < error + 1e-12
+
+
+def test_step_count_is_the_smallest():
+    for kappa in (0.0, 0.1, 0.412, 0.5, 0.999):
+        for epsilon in (1e-2, 1e-6, 0.25):
+            t = step_count(kappa, epsilon, 500)
+            assert kappa**t <= epsilon or t == 500
+            assert t == 1 or kappa ** (t - 1) > epsilon
+    assert step_count(1.0, 1e-6, 500) == 500
+
+
+def test_heat_is_right_on_many_separate_hubs(spark):
+    """The Krylov end of such a spectrum is too low; the heat map must not rely on it."""
+    import numpy as np
+
+    sizes = [150 + 5 * i for i in range(30)]
+    rows, want, begin = [], {}, 0
+    for m in sizes:
+        hub, leaves = begin, range(begin + 1, begin + m + 1)
+        rows += [(leaf, hub, 1.0) for leaf in leaves]
+        x = np.array([1.0 + i % 3 for i in range(m + 1)])
+        lap = np.diag([m, *[1.0] * m])
+        lap[0, 1:] = lap[1:, 0] = -1
+        values_, vectors = np.linalg.eigh(lap)
+        want.update(zip([hub, *leaves], vectors @ (np.exp(-values_) * (vectors.T @ x))))
+        begin += m + 1
+    adj = spark.createDataFrame(rows, "src bigint, dst bigint, w double")
+    first = {n: 0 for n in want}
+    begin = 0
+    for m in sizes:
+        first.update({begin + i: 1.0 + i % 3 for i in range(m + 1)})
+        begin += m + 1
+    phi = spark.createDataFrame(list(first.items()), "id bigint, x double")
+    table = entry_table(adj)
+    got = {r["id"]: r["x"] for r in heat_step(table, phi).collect()}
+    assert max(abs(got[n] - want[n]) for n in want) < 1e-5
+
+
 def test_hub_parts_give_the_same_focus(spark, make_links):
     links = [(i, 0, 100 + i) for i in range(1, 40)] + [(0, i, 50) for i in range(1, 40, 3)]
     adj = graph(make_links(links))
     whole, parts = entry_table(adj), entry_table(adj, hub=4)
     assert parts.salted and not whole.salted
     params = FocusParams(tau=0.5)
-    one, two = (values(run_focus(t, 3, 45.0, params)) for t in (whole, parts))
+    one, two = (values(run_focus(t, 3, spectral_bound(t), params)) for t in (whole, parts))
     assert max(abs(one[k] - two[k]) for k in one) < 1e-12
 
 

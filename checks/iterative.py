@@ -31,6 +31,11 @@ walk AS MATERIALIZED (SELECT src, dst, w / out AS t FROM adj JOIN node ON src =
 """
 
 
+#: The start of the power iterations, as in ``focus.start_value``.
+TURN = "id * CAST(0.6180339887498949 AS DOUBLE)"
+SPREAD = f"({TURN} - floor({TURN}) + 0.5)"
+
+
 def top_bound(d):
     """Twice the largest degree: a bound on the largest eigenvalue that SQL can state."""
     ends = d.adjacency.select(F.explode(F.array("src", "dst")).alias("id"), "w")
@@ -121,7 +126,7 @@ it AS (SELECT 0 AS k, id, x, CAST(0 AS DOUBLE) AS quotient FROM ({start})
     WHERE a.k < {steps}))"""
 
 
-@query("lambda_max", f"""WITH {GRAPH}, {power_sql(17, 'deg * a.x - wx', 'SELECT id, CAST(id % 7 + 1 AS DOUBLE) / 7 AS x FROM node')}
+@query("lambda_max", f"""WITH {GRAPH}, {power_sql(17, 'deg * a.x - wx', f'SELECT id, {SPREAD} AS x FROM node')}
 SELECT round(max(quotient), 6) AS lambda_max FROM it WHERE k = 17""", "adjacency", recursive=True)
 def _(d):
     value = lambda_max(entry_table(d.adjacency), 17)
@@ -129,7 +134,7 @@ def _(d):
 
 
 @query("lambda_2", f"""WITH {GRAPH}, top AS MATERIALIZED (SELECT 2 * max(deg) AS t FROM node),
-{power_sql(17, '(SELECT t FROM top) * a.x - (deg * a.x - wx)', 'SELECT id, CAST(id % 7 + 1 AS DOUBLE) - (SELECT avg(id % 7 + 1) FROM node) AS x FROM node')}
+{power_sql(17, '(SELECT t FROM top) * a.x - (deg * a.x - wx)', f'SELECT id, {SPREAD} - (SELECT avg({SPREAD}) FROM node) AS x FROM node')}
 SELECT round(greatest(0, (SELECT t FROM top) - max(quotient)), 6) AS lambda_2 FROM it WHERE k = 17""", "adjacency", recursive=True)
 def _(d):
     value = lambda_2(entry_table(d.adjacency), top_bound(d), 17)
@@ -137,7 +142,7 @@ def _(d):
 
 
 @query("normalized_gap", f"""WITH {GRAPH},
-start AS MATERIALIZED (SELECT id, (id % 7 + 1) - sqrt(deg) * (SELECT sum((id % 7 + 1) * sqrt(deg)) / sum(deg) FROM node) AS x FROM node),
+start AS MATERIALIZED (SELECT id, {SPREAD} - sqrt(deg) * (SELECT sum({SPREAD} * sqrt(deg)) / sum(deg) FROM node) AS x FROM node),
 ns AS MATERIALIZED (SELECT i, j, w / sqrt(a.deg * b.deg) AS w FROM sym JOIN node a ON i = a.id JOIN node b ON j = b.id),
 it AS (SELECT 0 AS k, id, x, CAST(0 AS DOUBLE) AS quotient FROM start
   UNION ALL SELECT k + 1, id, y, sum(x * y) OVER () / sum(x * x) OVER () FROM (

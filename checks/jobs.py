@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from checks.iterative import BFS
 from checks.registry import query, r
 from checks.scores import CAND, LABELLED, candidates, labelled
 from linktide.operators import dialect as DI
@@ -79,9 +80,10 @@ def _(d):
 
 @query("local_focus")
 def _(d):
-    changed = d.table("lineitem").where("l_quantity = 50 AND l_tax = 0 AND l_discount = 0").select(
-        F.col("l_partkey").alias("id"))
-    return local_focus(d.adjacency, d.phi, changed, 1, SHORT)
+    lines = d.table("lineitem").where("l_quantity = 50 AND l_tax = 0 AND l_discount = 0")
+    before = d.adjacency
+    after = before.join(lines.select(F.col("l_partkey").alias("src")).distinct(), "src", "left_anti")
+    return local_focus(before, after, d.phi, 1, SHORT).select("id", "focus")
 
 
 @query("spectral_embedding")
@@ -153,25 +155,12 @@ def _(d):
     return out.select("head", "i", r(F.col("values")[0], 8).alias("a"), r(F.col("values")[1], 8).alias("b"))
 
 
-@query("query_key_factors")
-def _(d):
-    p = PR.project(relation(d), vectors(d), 1).withColumn("power", F.lit(1))
-    return PR.qk_factors(p, 2, 2000)
-
-
 @query("head_fidelity")
 def _(d):
     p = PR.project(relation(d), vectors(d), 1).withColumn("power", F.lit(1))
     return PR.check_heads(PR.qk_factors(p, 2, 2000), p)
 
 
-@query("output_projection")
-def _(d):
-    p = PR.project(relation(d), vectors(d), 1).groupBy("i").agg(
-        F.sum(F.col("values")[0]).alias("a"), F.sum(F.col("values")[1]).alias("b"))
-    return PR.output_projection(p.select("i", F.array("a", "b").alias("values")), 2000)
-
-
 @query("ego_focus")
 def _(d):
     return EV.ego_focus(d.edges, SHORT)
@@ -179,30 +168,33 @@ def _(d):
 
 @query("retrieval_at_k", f"""
 WITH {CAND}, marked AS (SELECT a, b, (row_number() OVER (ORDER BY a, b) - 1) % 5 = 0 AS held FROM edges),
+dir AS (SELECT a AS query, b AS id, held FROM marked UNION ALL SELECT b, a, held FROM marked),
+pool AS (SELECT a, b FROM neg UNION ALL SELECT a, b FROM edges),
 prox AS (SELECT a AS query, b AS id, coalesce(p.focus, 0) * coalesce(q.focus, 0) AS score FROM
-  (SELECT a, b FROM neg UNION ALL SELECT a, b FROM edges) e LEFT JOIN phi p ON a = p.id LEFT JOIN phi q ON b = q.id),
+  (SELECT a, b FROM pool UNION ALL SELECT b, a FROM pool) e LEFT JOIN phi p ON a = p.id LEFT JOIN phi q ON b = q.id),
 best AS (SELECT query, prox.id, row_number() OVER (PARTITION BY query ORDER BY score DESC, prox.id) AS rk
-  FROM prox ANTI JOIN (SELECT a AS query, b AS id FROM marked WHERE NOT held) k ON prox.query = k.query AND prox.id = k.id),
-hits AS (SELECT m.a AS query, count(*) AS h FROM best JOIN marked m ON held AND query = m.a AND id = m.b WHERE rk <= 10 GROUP BY 1)
-SELECT DISTINCT a AS query, round(coalesce(h, 0) / 10.0, 9) AS precision FROM marked LEFT JOIN hits ON a = query WHERE held""", "links edges phi")
+  FROM prox ANTI JOIN (SELECT query, id FROM dir WHERE NOT held) k ON prox.query = k.query AND prox.id = k.id),
+hits AS (SELECT dir.query, count(*) AS h FROM best JOIN dir ON held AND best.query = dir.query AND best.id = dir.id WHERE rk <= 10 GROUP BY 1)
+SELECT DISTINCT dir.query, round(coalesce(h, 0) / 10.0, 9) AS precision FROM dir LEFT JOIN hits ON dir.query = hits.query WHERE held""", "links edges phi")
 def _(d):
     edges = d.edges
+    turn = lambda df, a, b: df.select(F.col("a").alias(a), F.col("b").alias(b)).union(df.select("b", "a"))
     marked = EV.split_edges(edges, ["a", "b"])
-    held, known = (marked.where(c).select(F.col("a").alias("query"), F.col("b").alias("id"))
-                   for c in ("held_out", "NOT held_out"))
-    pairs = EV.non_edges(candidates(d), edges).unionByName(edges)
+    held, known = (turn(marked.where(c), "query", "id") for c in ("held_out", "NOT held_out"))
+    pairs = turn(EV.non_edges(candidates(d), edges).unionByName(edges), "a", "b")
     near = EV.affinity(pairs, d.phi).select(F.col("a").alias("query"), F.col("b").alias("id"), "score")
     return EV.retrieval_at_k(near, held, known, 10)
 
 
-@query("spanning_tree", "WITH n AS (SELECT count(DISTINCT id) AS n FROM (SELECT a AS id FROM edges UNION ALL SELECT b FROM edges)) "
-       "SELECT (SELECT n FROM n) - 1 AS tree, (SELECT count(*) FROM edges) - (SELECT n FROM n) + 1 AS rest", "edges")
+@query("spanning_tree", """WITH start AS (SELECT min(a) AS id FROM edges), """ + BFS.format(hops=16) + """,
+lvl AS MATERIALIZED (SELECT id, min(hop) AS h FROM bfs GROUP BY id),
+par AS (SELECT arcs.t AS id, min(arcs.id) AS parent FROM arcs JOIN lvl p ON arcs.id = p.id JOIN lvl c ON arcs.t = c.id AND c.h = p.h + 1 GROUP BY 1)
+SELECT a, b, EXISTS (SELECT 1 FROM par WHERE least(id, parent) = a AND greatest(id, parent) = b) AS in_tree FROM edges""", "edges", recursive=True)
 def _(d):
     from linktide.operators.neighbourhood import spanning_tree
     edges = d.edges
     root = edges.agg(F.min("a")).first()[0]
-    return spanning_tree(edges, root).agg(
-        F.count_if("in_tree").alias("tree"), F.count_if(~F.col("in_tree")).alias("rest"))
+    return spanning_tree(edges, root)
 
 
 @query("focus_table", "SELECT epoch, id, round(focus, 9) AS focus FROM history", "history")

@@ -492,6 +492,19 @@ def _smooth(
     return state
 
 
+@dataclass
+class Part:
+    """A part of a graph: self entries with ``held`` keep their value, others gain ``offset``.
+
+    ``lost`` is the dangling mass elsewhere. ``scale`` is the sum over the whole
+    graph after a step, in which the part had ``total``; None runs a bare step.
+    """
+
+    lost: float
+    scale: float | None = None
+    total: float = 0.0
+
+
 def run_focus(
     table: EntryTable,
     steps: int | DataFrame,
@@ -500,7 +513,7 @@ def run_focus(
     start: DataFrame | None = None,
     prior: DataFrame | None = None,
     tolerance: float | None = None,
-    lost: float = 0.0,
+    part: Part | None = None,
 ) -> Focus:
     """Iterate the blended step from the uniform vector or from ``start(id, x)``.
 
@@ -509,17 +522,15 @@ def run_focus(
     many-graph table they are tables ``(keys, steps)`` and ``(keys, bound)``,
     each graph stops at its own step count, and all graphs advance together.
 
-    Self entries with ``held`` keep their value, those with ``offset`` add it in
-    every step, and then nothing is rescaled (see ``local_focus``); ``lost`` is
-    the dangling mass elsewhere.
+    ``part`` says that the table is a part of a graph (see ``local_focus``).
     """
     with planned_for(table):
-        return _run_focus(table, steps, top, params, start, prior, tolerance, lost)
+        return _run_focus(table, steps, top, params, start, prior, tolerance, part)
 
 
-def _run_focus(table, steps, top, params, start, prior, tolerance, lost) -> Focus:
+def _run_focus(table, steps, top, params, start, prior, tolerance, part) -> Focus:
     keys = list(table.keys)
-    given_table, part = table, "held" in table.entries.columns
+    given_table, fixed = table, ["held", "offset"] if part else []
     if prior is not None:
         given = prior.select(*keys, "id", F.col("prior").alias("__p"))
         swapped = table.entries.join(given, [*keys, "id"], "left").withColumn(
@@ -546,7 +557,7 @@ def _run_focus(table, steps, top, params, start, prior, tolerance, lost) -> Focu
     copies = ["copies"] if table.salted else []
     if start is not None:
         state = table.state_of(start, raw=F.coalesce("x", F.lit(0.0)))
-        flags = table.entries.where("self").select(*keys, "id", "dangling")
+        flags = table.entries.where("self").select(*keys, "id", "dangling", *fixed)
         state = state.join(flags, [*keys, "id"])
     else:
         state = table.per_node(raw=ratio(F.lit(1.0), F.col("size")), dangling=F.col("dangling"))
@@ -568,11 +579,10 @@ def _run_focus(table, steps, top, params, start, prior, tolerance, lost) -> Focu
     last = {"dangling": static("dangling")}
     if keys:
         last["limit"] = static("steps")
-    if part:
-        last.update(held=static("held"), offset=static("offset"))
+    last.update({c: static(c) for c in fixed})
     used = 0
     for t in range(total_steps):
-        state = _normalised(table, state, lost if part else None)
+        state = _spliced(state, part, t > 0) if part else _normalised(table, state)
         drift = 1.0
         if params.heat_degree is None or tolerance is not None:
             drift = state.agg(F.sum(F.abs(F.col("v") - F.col("before")))).first()[0] or 0.0
@@ -600,32 +610,41 @@ def _run_focus(table, steps, top, params, start, prior, tolerance, lost) -> Focu
         )
         if keys:
             blend = F.when(F.lit(t) < F.col("limit"), blend).otherwise(F.col("v"))
-        if part:
-            blend = F.when(F.col("held"), F.col("v")).otherwise(blend + F.col("offset"))
         state = table.settle(
             state.select(
                 *keys, "id", blend.alias("raw"), "dangling", F.col("v").alias("before"),
-                heated.alias("heated"), "diffusion", "springs", *copies,
+                heated.alias("heated"), "diffusion", "springs", *copies, *fixed,
             )
         )
         used = t + 1
-    result = _normalised(table, state, lost if part else None) if "v" not in state.columns else state
+    result = state
+    if "v" not in state.columns:
+        result = _spliced(state, part, used > 0) if part else _normalised(table, state)
     wide.release_beyond(given_table)
     columns = [F.col("v").alias("focus"), "diffusion", "springs", F.col("heated").alias("heat")]
     return Focus(result.select(*keys, "id", *columns), None, used)
 
 
-def _normalised(table: EntryTable, state: DataFrame, elsewhere: float | None = None) -> DataFrame:
-    """v = raw / sum of raw, and ``lost`` = the part of v on dangling nodes.
+def _spliced(state: DataFrame, part: Part, stepped: bool) -> DataFrame:
+    """As ``_normalised`` for a part: held nodes keep their value, the rest is scaled as the
+    whole graph would be, whose sum has changed by what the sum of the part has."""
+    inner, dangling = ~F.col("held"), F.col("dangling") & ~F.col("held")
+    total, raw, extra = state.agg(
+        F.sum(F.when(inner, F.col("raw"))), F.sum(F.when(dangling, F.col("raw"))),
+        F.sum(F.when(dangling, F.col("offset"))),
+    ).first()
+    scale, share = 1.0, 0.0
+    if stepped and part.scale is not None:
+        scale, share = part.scale + (total or 0.0) - part.total, 1.0
+    lost = part.lost + (raw or 0.0) / scale + share * (extra or 0.0)
+    v = F.when(F.col("held"), F.col("before") if stepped else F.col("raw")).otherwise(
+        F.col("raw") / scale + share * F.col("offset")
+    )
+    return state.withColumn("v", v).withColumn("lost", F.lit(lost)).drop("raw", "dangling", "held", "offset")
+
 
-    In a part of a graph nothing is rescaled; ``elsewhere`` is the dangling mass
-    of the rest, held nodes are part of it.
-    """
-    if elsewhere is not None:
-        inner = table.entries.where("self AND dangling AND NOT held").select("id")
-        row = state.join(inner, "id", "left_semi").agg(F.sum("raw")).first()
-        ready = state.withColumn("v", F.col("raw")).withColumn("lost", F.lit(elsewhere + (row[0] or 0.0)))
-        return ready.drop("raw", "dangling")
+def _normalised(table: EntryTable, state: DataFrame) -> DataFrame:
+    """v = raw / sum of raw, and ``lost`` = the part of v on dangling nodes."""
     sums = _per_graph(
         table,
         state,

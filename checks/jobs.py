@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.iterative import BFS
 from checks.registry import query, r
@@ -197,6 +198,31 @@ def _(d):
     return spanning_tree(edges, root)
 
 
+@query("links_scan", "SELECT epoch AS block, neuron, src, dst, token, amount, valence, price FROM links", "links")
+def _(d):
+    path = f"{scratch(d)}/links"
+    wide = T.StructType([*TB.LINKS.fields, T.StructField("price", T.DoubleType())])
+    d.links.withColumn("block", F.col("epoch")).select(
+        *[F.col(f.name).cast(f.dataType) for f in wide.fields]).write.parquet(path)
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("neuron", "src", "dst", "amount")]
+    return TB.read_links(d.spark, path, schema=wide).select(
+        F.col("block").cast("int").alias("block"), *whole, "token", F.col("valence").cast("int").alias("valence"), "price")
+
+
+@query("context_scan",
+       "SELECT coalesce(k.neuron, w.neuron) AS neuron, kappa, will FROM karma k "
+       "FULL JOIN will w ON k.neuron = w.neuron", "karma will")
+def _(d):
+    path = scratch(d)
+    for name, value in (("karma", "kappa"), ("will", "will")):  # epoch 2 holds other values
+        rows = getattr(d, name)
+        both = rows.withColumn("epoch", F.lit(1)).unionByName(
+            rows.withColumn(value, F.col(value) * 2).withColumn("epoch", F.lit(2)))
+        both.write.partitionBy("epoch").parquet(f"{path}/{name}")
+    ctx = TB.read_context(d.spark, path, 1)
+    return ctx.karma.join(ctx.will, "neuron", "full")
+
+
 @query("focus_table", "SELECT epoch, id, round(focus, 9) AS focus FROM history", "history")
 def _(d):
     path = scratch(d)

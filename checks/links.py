@@ -36,18 +36,6 @@ def effective(d):
     return W.effective_links(d.links, context(d))
 
 
-@query("links_scan", "SELECT epoch, neuron, src, dst, token, amount, valence, price FROM links", "links")
-def _(d):
-    return d.links.select("epoch", "neuron", "src", "dst", "token", "amount", "valence", "price")
-
-
-@query("context_scan",
-       "SELECT coalesce(k.neuron, w.neuron) AS neuron, kappa, will FROM karma k "
-       "FULL JOIN will w ON k.neuron = w.neuron", "karma will")
-def _(d):
-    return d.karma.join(d.will, "neuron", "full")
-
-
 @query("content_address", "SELECT doc_id AS pos, sha256(text) AS particle FROM documents")
 def _(d):
     return D.content_address(d.dictionary).select("pos", "particle")

@@ -29,9 +29,11 @@ HINTS = frozenset(
     " cookie cookies consent gdpr notice notices sidebar sidebars aside nav navbar navigation menu menus breadcrumb"
     " breadcrumbs footer header masthead comment comments commentlist disqus replies reply respond share sharing"
     " social related recommended newsletter subscribe subscription popup modal overlay widget toolbar pagination"
-    " pager login signup search form topbar".split()
+    " pager login signup search form topbar topnav subnav sidenav discussion reviews reactions adbox adslot".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar".split())
+#: Words that mean clutter also at the start of a joined name.
+STARTS = ("cookie", "sidebar", "advert", "sponsor", "newsletter", "breadcrumb", "masthead")
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 NEGATED = re.compile(r"(?:has|no|with|without|is|not)[-_]", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
@@ -55,7 +57,9 @@ def _is_clutter(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name in ("class", "id"):
             for one in value.split():
-                if not NEGATED.match(one) and any(p.lower() in HINTS for p in _PARTS.split(one)):
+                if not NEGATED.match(one) and any(
+                    p in HINTS or p.startswith(STARTS) for p in (x.lower() for x in _PARTS.split(one))
+                ):
                     return True
     return False
 

@@ -88,9 +88,9 @@ def _(d):
     return heat_step(table, d.phi.withColumnRenamed("focus", "x"), top_bound(d), params).select("id", r("x"))
 
 
-def blend_sql(name: str, before: str) -> str:
+def blend_sql(name: str, before: str, tau: float = 0.02, degree: int = 20) -> str:
     """One focus step from ``before(id, x)`` to ``name(id, x)``."""
-    return f"""{heat_sql(name + '_heat', before, 0.02, 20)},
+    return f"""{heat_sql(name + '_heat', before, tau, degree)},
 {name}_raw AS MATERIALIZED (SELECT node.id, 0.5 * (0.15 * deg / mass + 0.85 * (lost * deg / mass + coalesce(tx, 0)))
    + 0.3 * (1 / n + wx) / (1 + deg) + 0.2 * he.x AS x FROM node CROSS JOIN size
   CROSS JOIN (SELECT coalesce(sum(x), 0) AS lost FROM {before} JOIN node USING (id) WHERE dangling)
@@ -220,9 +220,10 @@ def _(d):
     return NB.ego_nets(d.edges).groupBy("ego").agg(F.count("*").alias("pairs"))
 
 
-@query("focus_full")
+STEPS = 15  # what the contraction coefficient asks for on these links
+
+
+@query("focus_full", f"""WITH {GRAPH}, f0 AS MATERIALIZED (SELECT id, 1 / n AS x FROM node, size),
+{", ".join(blend_sql(f"f{t + 1}", f"f{t}", 1.0, 96) for t in range(STEPS))} SELECT id, round(x, 8) AS focus FROM f{STEPS}""", "adjacency", recursive=True)
 def _(d):
-    from checks.links import effective
-    from linktide.operators.graph import adjacency
-    done = focus(adjacency(effective(d)), FocusParams(epsilon=1e-3, heat_error=1e-5))
-    return done.nodes
+    return focus(d.adjacency, FocusParams(heat_error=1e-12), steps=STEPS).nodes.select("id", r("focus", 8))

@@ -23,6 +23,7 @@ from linktide.operators.neighbourhood import (
     components,
     distances,
     gravity,
+    neighborhood,
     spanning_tree,
     total_gravity,
     triangle_weights,
@@ -221,6 +222,28 @@ def test_local_and_seeded_focus(spark, make_links):
     assert {r["id"]: r["focus"] for r in again.collect()} == pytest.approx(two, abs=1e-12)
 
 
+def test_breadth_first_search_goes_to_the_end(spark):
+    chain = [(i, i + 1) for i in range(20)] + [(0, 30), (2, 4), (30, 31)]
+    marked = spanning_tree(pairs(spark, chain), 0).collect()
+    assert {(r["a"], r["b"]) for r in marked if not r["in_tree"]} == {(3, 4)}
+    adj = pairs(spark, chain).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w"))
+    start = spark.createDataFrame([(31,)], "id bigint")
+    near = {r["id"]: r["hop"] for r in neighborhood(adj, start, 4).collect()}
+    assert near == {31: 0, 30: 1, 0: 2, 1: 3, 2: 4}
+
+
+def test_crowd_reference_needs_karma(spark):
+    from linktide.operators.truth import crowd_reference
+
+    rows = [(1, n, n, b, b, 1, 1.0) for n, b in ((1, 0.2), (2, 0.4), (3, 0.9))]
+    reports = spark.createDataFrame(
+        rows, "question_id bigint, ord bigint, neuron bigint, belief double, prediction double, valence int, stake double"
+    )
+    karma = spark.createDataFrame([(3, 0.0), (2, 2.0)], "neuron bigint, kappa double")
+    assert {r["neuron"] for r in crowd_reference(reports).collect()} == {1, 2, 3}
+    assert {r["neuron"] for r in crowd_reference(reports, karma=karma).collect()} == {1, 2}
+
+
 def test_local_focus_moves_only_what_an_edit_moves(spark):
     ring = [(i, i % 12 + 1, 1.0) for i in range(1, 13)] + [(1, 7, 0.5), (4, 10, 0.5)]
     frame = lambda rows: spark.createDataFrame(rows, "src bigint, dst bigint, w double")

@@ -57,6 +57,23 @@ def test_link_records_are_read_in_ranges(spark, record_file):
     assert rows[0]["src"] == "02" * 32
 
 
+def test_link_records_after_a_long_header(spark, tmp_path):
+    from linktide.sources.link_records import section_range
+
+    body = record(1, 2, 3, 5, 1, 9)
+    header = (
+        "# " + "x" * (3 << 20) + '\n[file]\ntypes = ["graph"]\n[[files]]\nname = "links"\nformat = "records"\n'
+        f"size = {len(body)}\n"
+    )
+    path = tmp_path / "long.bin"
+    path.write_bytes(header.encode() + b"~~~links\n" + body)
+    start, end = section_range(str(path))
+    assert end - start == len(body)
+    (tmp_path / "none.bin").write_bytes(b"no mark at all")
+    with pytest.raises(ValueError, match="no section mark"):
+        section_range(str(tmp_path / "none.bin"))
+
+
 def test_tables_round_trip(spark, tmp_path):
     links = spark.createDataFrame([("a", "x", "y", "T", Decimal(5), 1, 9)], "neuron string, src string, dst string, token string, amount decimal(38,0), valence byte, block long")
     links.write.parquet(f"{tmp_path}/links")

@@ -16,7 +16,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of one slice in :func:`numbered_within`.
-SLICE_ROWS = 100_000
+SLICE_ROWS = 10_000
 
 
 def table(spark, folder: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linktide.llm.common import numbered_within, others, unit_hash, word_count
+from linktide.llm.common import let, numbered_within, others, unit_hash, word_count
 
 #: Length buckets, padded tokens of a batch.
 BUCKETS = 16
@@ -96,12 +96,13 @@ def pack(
         [r["longest"] for r in bins], [r["rows"] for r in bins], [r["total"] for r in bins], buckets
     )
     upper = F.array(*[F.lit(e).cast("bigint") for e in edges]) if edges else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(upper, lambda e: e < F.col("n_tokens")))
+    # the length is bound once: inside the lambda it would be counted again for each edge
+    bucket = let(F.col("n_tokens"), lambda n: F.size(F.filter(upper, lambda e: e < n)))
     of_bucket = [0] * (len(edges) + 1)
     for r in bins:
         of_bucket[int(np.searchsorted(edges, r["longest"]))] += r["rows"]
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    body = F.md5(F.coalesce("text", F.lit(""))) if "text" in given else F.lit("")
+    body = F.xxhash64("text").cast("string") if "text" in given else F.lit("")
     placed = measured.select(
         *given,
         "n_tokens",

@@ -387,9 +387,11 @@ def _repeated_spans(docs: DataFrame, length: int, gram: int, crowd: int, support
     rest = anchors.join(frequent, "pair", "left_anti").drop("pair").withColumn("times", F.lit(1))
     rest = rest.unionByName(winners.select("first.*").withColumn("times", F.lit(2)))
     crowds = rest.stat.freqItems(["kg"], support).select(F.explode("kg_freqItems").alias("kg")).distinct()
-    hot = F.broadcast(crowds.withColumn("hot", F.lit(True)))
+    kinds = rest.join(F.broadcast(crowds), "kg").select("kg", "ctx").distinct().groupBy("kg").agg(F.count(F.lit(1)).alias("hot"))
+    hot, _ = written(kinds, "hot")  # contexts over all salts, so that a whole gram takes one path
+    hot = F.broadcast(hot)
     salted = rest.join(hot, "kg", "left").withColumn(
-        "salt", F.when(F.col("hot"), F.pmod("ctx", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+        "salt", F.when(F.col("hot").isNotNull(), F.pmod("ctx", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     )
     same = Window.partitionBy("kg", "salt", "ctx")
     grams = Window.partitionBy("kg", "salt")
@@ -401,7 +403,7 @@ def _repeated_spans(docs: DataFrame, length: int, gram: int, crowd: int, support
         .withColumn("alone", F.max(F.col("times") == 1).over(grams))
     )
     several = F.col("hot").isNotNull() | ((F.col("kinds") > 1) & F.col("alone"))
-    crowded = F.col("kinds") * F.when(F.col("hot"), SALTS).otherwise(1) > crowd
+    crowded = F.coalesce("hot", "kinds") > crowd
     marks, _ = written(
         counted.select(
             "id", "tag", "at", "back", "ahead", "kg",

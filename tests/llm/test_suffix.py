@@ -61,6 +61,29 @@ def test_against_brute_force(spark, seed, options):
     check(spark, rows, 24, gram=8, **options)
 
 
+@pytest.mark.parametrize("crowd", [40, 60, 79, 80, 100])
+def test_hot_gram_takes_one_path(spark, monkeypatch, crowd):
+    """Windows around one gram that only two texts share; the salts of the gram differ in size."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix, "SALTS", 8)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    sides = [(word(8), word(8)) for _ in range(40)]
+
+    def texts(gram):
+        return [word(25) + a + gram + b + word(25) for a, b in sides for _ in range(2)]
+
+    def hits(gram, made):
+        columns = [pa.array(range(len(made))), pa.array([0] * len(made), pa.int32()), pa.array([t.encode() for t in made])]
+        found = suffix._scan(iter([pa.RecordBatch.from_arrays(columns, ["id", "tag", "text"])]), 24, 8)
+        return sum(made[r["id"]][r["at"] : r["at"] + 8] == gram for b in found for r in b.to_pylist())
+
+    made = max(((hits(g, t), t) for g in (word(8) for _ in range(60)) for t in [texts(g)]), key=lambda x: x[0])
+    assert made[0] >= 75
+    check(spark, list(enumerate(made[1])), 24, gram=8, support=1 / 40, crowd=crowd)
+
+
 def test_long_texts_are_read_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 64)
     rng = random.Random(4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from linktide.llm import (
     exact,
     html_text,
+    merkle,
     mixing,
     ordinal,
     packing,
@@ -256,3 +258,79 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
 def op10_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     marked = exact.mark_copies(table(spark, folder, "documents"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+#: The columns of a leaf, in order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _merkle_sql() -> str:
+    """Levels by recursion, siblings by windows, proofs folded level by level."""
+    field = lambda v: f"coalesce(strlen({v}) || ':' || {v}, '-')"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    values = [f"({c})::VARCHAR" for c in LEAF]
+    leaf = " || ".join(map(field, values))
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),"
+        " lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),"
+        " lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
+    )
+    changed = f"CASE WHEN ({crc}) % 3 = 0 THEN {low} ELSE text END"
+    tampered = " || ".join(map(field, [*values[:-1], f"({changed})"]))
+    window = "PARTITION BY lvl, tree, pos // 8 ORDER BY pos ROWS BETWEEN"
+    return f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, sha256({leaf}) AS leaf, sha256({tampered}) AS changed FROM documents),
+trees AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaves GROUP BY lang),
+placed AS (
+  SELECT doc_id, leaf, changed, tree, n,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM leaves JOIN trees ON leaves.lang IS NOT DISTINCT FROM trees.lang),
+low AS (
+  SELECT 0 AS lvl, tree, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT lvl + 1, tree, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM low WHERE n > 1 GROUP BY lvl, tree, pos // 8, n),
+high AS (
+  SELECT 0 AS lvl, -1 AS tree, tree AS pos, (SELECT count(*) FROM trees) AS n, h FROM low WHERE n = 1
+  UNION ALL
+  SELECT lvl + 1, tree, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM high WHERE n > 1 GROUP BY lvl, tree, pos // 8, n),
+sides AS (
+  SELECT lvl, tree, pos, coalesce(string_agg(h, '') OVER ({window} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER ({window} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM (SELECT * FROM low WHERE n > 1 UNION ALL SELECT * FROM high WHERE n > 1)),
+steps AS (
+  SELECT p.tree, p.pos, s.lvl AS step, l, r FROM placed p JOIN sides s ON s.tree = p.tree AND s.pos = p.pos // (8 ** s.lvl)::BIGINT
+  UNION ALL
+  SELECT p.tree, p.pos, 1000 + s.lvl, l, r FROM placed p JOIN sides s ON s.tree = -1 AND s.pos = p.tree // (8 ** s.lvl)::BIGINT),
+listed AS (
+  SELECT tree, pos, list(struct_pack(l := l, r := r) ORDER BY step) AS path,
+         string_agg(l || r, '' ORDER BY step) AS proof
+  FROM steps GROUP BY tree, pos),
+fold AS (
+  SELECT p.tree, p.pos, 1 AS i, CASE WHEN doc_id IS NULL THEN leaf ELSE changed END AS h, path
+  FROM placed p LEFT JOIN listed USING (tree, pos)
+  UNION ALL
+  SELECT tree, pos, i + 1, sha256(path[i].l || h || path[i].r), path FROM fold WHERE i <= len(path))
+SELECT doc_id, leaf, (SELECT h FROM low WHERE n = 1 AND low.tree = p.tree) AS subroot, root,
+       sha256(coalesce(proof, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM placed p LEFT JOIN listed USING (tree, pos) JOIN fold f ON f.tree = p.tree AND f.pos = p.pos AND f.i = coalesce(len(f.path), 0) + 1,
+     (SELECT h AS root FROM high WHERE n = 1)
+"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    changed = merkle.leaf_of(LEAF, {"text": low})
+    leaves = docs.select(
+        "doc_id", "lang", merkle.leaf_of(LEAF).alias("leaf"), F.when(tampered, changed).alias("changed")
+    )
+    found = merkle.manifest(leaves)
+    root = merkle.folded(F.coalesce("changed", "leaf"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), root.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))

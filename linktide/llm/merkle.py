@@ -79,34 +79,50 @@ def _climb(nodes: DataFrame, largest: int, arity: int) -> tuple[list[DataFrame],
     return runs, levels
 
 
-def _descend(runs: list[DataFrame], levels: list[DataFrame], tops: DataFrame, arity: int) -> DataFrame:
-    """What ``tops(tree, at, path, ...)`` say of the last node of a tree, for all first-level nodes.
+def _descend(
+    runs: list[DataFrame], levels: list[DataFrame], tops: DataFrame, arity: int, rows: DataFrame
+) -> DataFrame:
+    """``rows(tree, at, ...)`` of the first level with what ``tops(tree, at, path, ...)`` say of
+    the last node of their tree.
 
-    A path gains the (left, right) siblings of a level at its front.
+    A path gains the slot and the run of a level at its front. Rows meet their run
+    before they meet the path of the node above, so long paths are only shuffled once
+    per run.
     """
     known = [c for c in tops.columns if c not in ("tree", "at", "path")]
+    more = [c for c in rows.columns if c not in ("tree", "at", "n")]
     below = None
     for level in range(len(levels) - 1, -1, -1):
-        ended = levels[level].where("n = 1").select("tree", "at").join(tops, ["tree", "at"])
-        ended = ended.select("tree", "at", "path", *known)
+        kept = more if level == 0 else []
+        ended = (rows if level == 0 else levels[level]).where("n = 1").select("tree", "at", *kept)
+        ended = ended.join(tops, ["tree", "at"]).select("tree", "at", "path", *known, *kept)
         if below is not None:
-            slot = (F.col("at") % arity).cast("int")
-            left = F.expr(f"slice(run, 1, cast(at % {arity} AS int))")
-            right = F.slice("run", slot + 2, F.lit(arity))
-            piece = F.array(F.struct(_joined(left).alias("left"), _joined(right).alias("right")))
-            here = runs[level].select(
-                "tree", "at", F.expr(f"at div {arity}").alias("up"), piece.alias("piece")
-            )
+            step = F.struct((F.col("at") % arity).cast("int").alias("slot"), F.col("run"))
+            here = runs[level].select("tree", "at", F.array(step).alias("piece"))
+            if level == 0:
+                here = here.join(rows.select("tree", "at", *more), ["tree", "at"])
+            here = here.withColumn("up", F.expr(f"at div {arity}"))
             over = below.withColumnRenamed("at", "up")
             ended = ended.unionByName(
                 here.join(over, ["tree", "up"]).select(
-                    "tree", "at", F.concat("piece", "path").alias("path"), *known
+                    "tree", "at", F.concat("piece", "path").alias("path"), *known, *kept
                 )
             )
         below = ended
     return below
 
 
+def _sides(path: Column) -> Column:
+    """Hex texts to the left and to the right of every step of a path."""
+    return F.transform(
+        path,
+        lambda s: F.struct(
+            _joined(F.slice(s["run"], F.lit(1), s["slot"])).alias("left"),
+            _joined(F.slice(s["run"], s["slot"] + 2, F.size(s["run"]))).alias("right"),
+        ),
+    )
+
+
 def manifest(
     leaves: DataFrame, by: str = "lang", order: str = "doc_id", arity: int = ARITY
 ) -> DataFrame:
@@ -127,8 +143,10 @@ def manifest(
     down by one join a level. Nothing is collected but the size of the largest tree.
     """
     given = others(leaves, "subroot", "root", "path")
-    leaves = settle(leaves.select(*given, F.unhex("leaf").alias("__digest"), F.col(by).alias("__by")))
-    placed = settle(numbered(leaves, ["__by", order, "__digest"], "__number"))
+    leaves = settle(leaves.select(
+        F.struct(*given).alias("row"), F.col(order).alias("__order"), F.unhex("leaf").alias("__digest"),
+        F.col(by).alias("__by")))
+    placed = settle(numbered(leaves, ["__by", "__order", "__digest"], "__number"))
     groups = placed.groupBy("__by").agg(F.min("__number").alias("__start"), F.count(F.lit(1)).alias("__n"))
     groups = settle(numbered(groups, ["__start"], "__tree"))
     starts = groups.select(F.coalesce("__by", F.lit("")).alias("__key"), F.isnull("__by").alias("__none"),
@@ -136,7 +154,7 @@ def manifest(
     keyed = placed.select("*", F.coalesce("__by", F.lit("")).alias("__key"), F.isnull("__by").alias("__none"))
     placed = settle(
         attach(keyed, starts, ["__key", "__none"], "inner").select(
-            *given, "__digest", F.col("__tree").alias("tree"), (F.col("__number") - F.col("__start")).alias("at"),
+            "row", "__digest", F.col("__tree").alias("tree"), (F.col("__number") - F.col("__start")).alias("at"),
             F.col("__n").alias("n"))
     )
     trees, largest = groups.agg(F.count(F.lit(1)), F.max("__n")).first()
@@ -152,13 +170,13 @@ def manifest(
         "digest")
     top_runs, top_levels = _climb(tops, trees, arity)
     root = top_levels[-1].where("n = 1").select(
-        "tree", "at", F.expr("cast(array() AS array<struct<left: string, right: string>>)").alias("path"),
+        "tree", "at", F.expr("cast(array() AS array<struct<slot: int, run: array<binary>>>)").alias("path"),
         _hex("digest").alias("root"))
-    down = _descend(top_runs, top_levels, root, arity)
+    down = _descend(top_runs, top_levels, root, arity, tops.select("tree", "at", "n"))
     down = down.select(F.col("at").alias("tree"), F.lit(0).cast("bigint").alias("at"), "path", "root")
     down = settle(down.join(subroots.select("tree", _hex("digest").alias("subroot")), "tree"))
-    paths = _descend(runs, levels, down, arity)
-    return placed.join(paths, ["tree", "at"]).select(*given, "subroot", "root", "path")
+    found = _descend(runs, levels, down, arity, placed.drop("__digest"))
+    return found.select("row.*", "subroot", "root", _sides(F.col("path")).alias("path"))
 
 
 def proof_digest(path: str | Column = "path") -> Column:

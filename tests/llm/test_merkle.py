@@ -91,9 +91,10 @@ def test_small_trees(spark, tmp_path, n):
 def test_binary_tree_and_clashing_columns(spark):
     rows = [(i, f"t{i}", "en" if i % 3 else None) for i in range(37)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
-    leaves = docs.select("*", merkle.leaf_of(["doc_id", "text"]).alias("leaf"), F.lit("mine").alias("ROOT"))
+    leaves = docs.select("*", merkle.leaf_of(["doc_id", "text"]).alias("leaf"), F.lit("mine").alias("ROOT"), F.lit(1).alias("tree"),
+                         F.lit(2).alias("at"), F.lit("x").alias("run"), F.lit("y").alias("row"))
     out = merkle.manifest(leaves, arity=2)
-    assert out.columns == ["doc_id", "text", "lang", "leaf", "subroot", "root", "path"]
+    assert out.columns == ["doc_id", "text", "lang", "leaf", "tree", "at", "run", "row", "subroot", "root", "path"]
     for r in out.collect():
         fold = r.leaf
         for step in r.path:

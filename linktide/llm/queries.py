@@ -16,6 +16,8 @@ from linktide.llm import (
     ordinal,
     packing,
     quality_rules,
+    quantised,
+    ranked,
     sharding,
     simhash,
     suffix,
@@ -334,3 +336,62 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), root.alias("folded_root")
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+RANKED_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+lens AS (SELECT r, doc_id, len(terms)::BIGINT AS n FROM texts WHERE len(terms) > 0),
+size AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM lens),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+tf AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM texts)
+  WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, size GROUP BY term),
+impacts AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * big_n) // big_l)))) AS impact
+  FROM tf JOIN weights USING (term) JOIN lens USING (r), size),
+scored AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY item_id, r),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
+
+@query("op12_ranked_search", RANKED_SQL)
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 50)
+
+
+@query(
+    "op11_near_vectors",
+    """
+WITH RECURSIVE good AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+unit AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM good),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM unit a JOIN unit b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98 END),
+reach AS (SELECT a AS r, b AS s FROM links UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.s),
+low AS (SELECT reach.r, min(vec_id) AS low FROM reach JOIN good ON good.r = reach.s GROUP BY reach.r),
+degree AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a),
+numbered AS (SELECT good.r, low, n FROM good LEFT JOIN low USING (r) LEFT JOIN degree USING (r)),
+done AS (
+  SELECT good.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(good.vec_id, low) AS component_id FROM good JOIN numbered USING (r)
+  UNION ALL
+  SELECT vec_id, 0, vec_id FROM embeddings WHERE NOT coalesce(label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false))
+SELECT vec_id, n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM done
+""",
+)
+def op11_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    found = quantised.linked_vectors(table(spark, folder, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")

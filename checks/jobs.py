@@ -66,11 +66,21 @@ def _(d):
     return IM.propose(links.where("epoch < 2001"), links.where("epoch = 2001"), params=SHORT)
 
 
-@query("shapley_shares")
+@query("shapley_shares", """
+WITH claims AS (SELECT DISTINCT token || '/' || valence AS player, CASE WHEN price < 0.5 THEN 'low' ELSE 'high' END AS cluster FROM links WHERE epoch = 2001 AND src <> dst)
+SELECT cluster, count(*) AS players, true AS whole FROM claims GROUP BY cluster""", "links")
 def _(d):
-    links = d.links
-    batch = links.where("epoch = 2001").withColumn("player", F.col("token"))
-    return V.shapley(links.where("epoch < 2001"), batch, params=SHORT)
+    # Default parameters; a cluster's shares must sum to the value of all its players.
+    links, base = d.links, d.links.where("epoch < 2001")
+    batch = links.where("epoch = 2001 AND src <> dst").select(
+        "*", F.concat_ws("/", "token", "valence").alias("player"),
+        F.when(F.col("price") < 0.5, "low").otherwise("high").alias("cluster"))
+    shares = V.shapley(base, batch, hops=1)
+    sums = shares.groupBy("cluster").agg(F.count("player").alias("players"), F.sum("share").alias("share"))
+    everyone = batch.select("cluster", F.lit("all").alias("coalition"), "player").distinct()
+    worth = V.stage(base, batch, hops=1).values(everyone).select("cluster", "value")
+    return sums.join(worth, "cluster").select(
+        "cluster", "players", (F.abs(F.col("share") - F.col("value")) < 1e-9).alias("whole"))
 
 
 @query("personalized_focus")
@@ -89,18 +99,28 @@ def _(d):
 
 @query("spectral_embedding")
 def _(d):
-    return spectral_embedding(d.adjacency, 2, rounds=4).coordinates
+    return spectral_embedding(d.adjacency, 2).coordinates
+
+
+#: The rank of the registered factors, and the residual they must keep to, against the largest value.
+RANK, RESIDUAL = 64, 1e-3
 
 
-@query("truncated_svd")
+@query("truncated_svd", f"""
+SELECT range::INT AS c, true AS exact, true AS ordered, round(mass, 9) AS mass
+FROM range({RANK}), (SELECT sum(w * w * p.focus * q.focus) AS mass FROM adjacency JOIN phi p ON src = p.id JOIN phi q ON dst = q.id)""",
+       "links adjacency phi")
 def _(d):
-    svd = truncated_svd(d.adjacency, d.phi, 4, iterations=12)
-    return d.spark.createDataFrame(list(enumerate(svd.sigma)), "c int, sigma double")
+    svd = truncated_svd(d.adjacency, d.phi, RANK, tolerance=1e-7)
+    top, rows = svd.sigma[0], []
+    for c, (s, e) in enumerate(zip(svd.sigma, svd.residual)):
+        rows.append((c, e <= RESIDUAL * top, s <= svd.sigma[max(0, c - 1)], svd.mass))
+    return d.spark.createDataFrame(rows, "c int, exact boolean, ordered boolean, mass double").withColumn("mass", r("mass"))
 
 
 @query("embedding_matrix")
 def _(d):
-    return embedding_matrix(truncated_svd(d.adjacency, d.phi, 4, iterations=8), 6)
+    return embedding_matrix(truncated_svd(d.adjacency, d.phi, RANK, tolerance=1e-7), RANK)
 
 
 @query("architecture")

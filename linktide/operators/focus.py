@@ -498,11 +498,14 @@ class Part:
 
     ``lost`` is the dangling mass elsewhere. ``scale`` is the sum over the whole
     graph after a step, in which the part had ``total``; None runs a bare step.
+    For a many-graph table ``graphs(keys, lost, scale, total)`` holds them per graph,
+    and ``scale`` only tells (by None) that the step is bare.
     """
 
-    lost: float
+    lost: float = 0.0
     scale: float | None = None
     total: float = 0.0
+    graphs: DataFrame | None = None
 
 
 def run_focus(
@@ -582,7 +585,7 @@ def _run_focus(table, steps, top, params, start, prior, tolerance, part) -> Focu
     last.update({c: static(c) for c in fixed})
     used = 0
     for t in range(total_steps):
-        state = _spliced(state, part, t > 0) if part else _normalised(table, state)
+        state = _spliced(table, state, part, t > 0) if part else _normalised(table, state)
         drift = 1.0
         if params.heat_degree is None or tolerance is not None:
             drift = state.agg(F.sum(F.abs(F.col("v") - F.col("before")))).first()[0] or 0.0
@@ -619,28 +622,35 @@ def _run_focus(table, steps, top, params, start, prior, tolerance, part) -> Focu
         used = t + 1
     result = state
     if "v" not in state.columns:
-        result = _spliced(state, part, used > 0) if part else _normalised(table, state)
+        result = _spliced(table, state, part, used > 0) if part else _normalised(table, state)
     wide.release_beyond(given_table)
     columns = [F.col("v").alias("focus"), "diffusion", "springs", F.col("heated").alias("heat")]
     return Focus(result.select(*keys, "id", *columns), None, used)
 
 
-def _spliced(state: DataFrame, part: Part, stepped: bool) -> DataFrame:
+def _spliced(table: EntryTable, state: DataFrame, part: Part, stepped: bool) -> DataFrame:
     """As ``_normalised`` for a part: held nodes keep their value, the rest is scaled as the
     whole graph would be, whose sum has changed by what the sum of the part has."""
     inner, dangling = ~F.col("held"), F.col("dangling") & ~F.col("held")
-    total, raw, extra = state.agg(
-        F.sum(F.when(inner, F.col("raw"))), F.sum(F.when(dangling, F.col("raw"))),
-        F.sum(F.when(dangling, F.col("offset"))),
-    ).first()
-    scale, share = 1.0, 0.0
+    sums = _per_graph(
+        table, state, F.sum(F.when(inner, F.col("raw"))).alias("__now"),
+        F.sum(F.when(dangling, F.col("raw"))).alias("__raw"),
+        F.sum(F.when(dangling, F.col("offset"))).alias("__extra"),
+    )
+    if part.graphs is not None:
+        sums = sums.join(part.graphs.toDF(*table.keys, "__out", "__scale", "__total"), list(table.keys))
+    else:
+        sums |= {"__out": part.lost, "__scale": part.scale, "__total": part.total}
+    ready, zero = _with(table, state, sums), F.lit(0.0)
+    scale, share = F.lit(1.0), zero
     if stepped and part.scale is not None:
-        scale, share = part.scale + (total or 0.0) - part.total, 1.0
-    lost = part.lost + (raw or 0.0) / scale + share * (extra or 0.0)
+        scale, share = F.col("__scale") + F.coalesce("__now", zero) - F.col("__total"), F.lit(1.0)
+    lost = F.col("__out") + F.coalesce("__raw", zero) / scale + share * F.coalesce("__extra", zero)
     v = F.when(F.col("held"), F.col("before") if stepped else F.col("raw")).otherwise(
         F.col("raw") / scale + share * F.col("offset")
     )
-    return state.withColumn("v", v).withColumn("lost", F.lit(lost)).drop("raw", "dangling", "held", "offset")
+    ready = ready.withColumn("v", v).withColumn("lost", lost)
+    return _drop(ready.drop("raw", "dangling", "held", "offset"), sums, table)
 
 
 def _normalised(table: EntryTable, state: DataFrame) -> DataFrame:

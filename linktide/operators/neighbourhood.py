@@ -42,6 +42,23 @@ def neighborhood(adj: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return found.all()
 
 
+def domains(arcs: DataFrame, seeds: DataFrame, key: str, hops: int) -> DataFrame:
+    """(key, id, hop): nodes within ``hops`` of the ``seeds(key, id)`` of every key, one sweep for all.
+
+    ``arcs(id, to)`` are shared by all keys; only two frontiers are compared a hop.
+    """
+    found = _Pieces()
+    before, now = None, settle(seeds.select(key, "id").distinct())
+    for hop in range(hops + 1):
+        found.add(now.withColumn("hop", F.lit(hop)))
+        if hop == hops:
+            break
+        reached = attach(arcs, now, ["id"], "inner").select(key, F.col("to").alias("id")).distinct()
+        seen = now if before is None else now.union(before)
+        before, now = now, settle(reached.join(seen, [key, "id"], "left_anti"))
+    return settle(found.all())
+
+
 def distances(adj: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
     """(source, id, d) for pairs within ``max_hops``, one sweep for all sources.
 

@@ -159,7 +159,6 @@ def entry_table(
     of id -> to and ``b`` that of to -> id; on self entries ``degree``,
     ``prior``, ``dangling``, ``out``, ``size``.
     """
-    spark = adj.sparkSession
     keys = tuple(keys)
     adj = settle(adj)
     table = node_table(adj, keys)
@@ -194,24 +193,9 @@ def entry_table(
         *[F.sum(c).alias(c) for c in ("t", "s", "a", "b")]
     )
     links = settle(links)
-    counts = links.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.agg(F.sum("c").alias("e"), F.max("c").alias("m"), F.count("c").alias("n")).first()
-    total, biggest, n = top["e"] or 0, top["m"] or 0, top["n"]
-    if nodes is not None:
-        n = table.count()
-    width = max(
-        1,
-        min(spark.sparkContext.defaultParallelism, -(-total // SMALLEST_TASK)),
-        -(-total // ENTRIES_PER_TASK),
-    )
-    chunk = hub or max(ENTRIES_PER_TASK // 4, -(-total // (4 * width)))
-    salted = biggest > chunk
     mass = table.groupBy(*keys).agg(F.sum("degree").alias("__mass"), F.count("id").alias("size"))
-    uneven = False
     if keys:
         mass = settle(mass)
-        largest = mass.agg(F.max("size")).first()[0] or 0
-        uneven = largest > max(SMALLEST_TASK, 2 * n // width)
         table = attach(table, mass, keys)
     else:
         table = table.join(F.broadcast(mass))
@@ -227,6 +211,32 @@ def entry_table(
         "out",
         "size",
     )
+    return laid_out(links, selves, keys, hub, table.count() if nodes is not None else None)
+
+
+def laid_out(
+    links: DataFrame, selves: DataFrame, keys: tuple[str, ...], hub: int | None = None, n: int | None = None
+) -> EntryTable:
+    """The cached table of ``links(id, to, ...)`` and of ``selves``, one row per node.
+
+    ``links`` is materialised already. A column with too many links is dealt to salted parts.
+    """
+    spark = links.sparkSession
+    counts = links.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.agg(F.sum("c").alias("e"), F.max("c").alias("m"), F.count("c").alias("n")).first()
+    total, biggest, n = top["e"] or 0, top["m"] or 0, top["n"] if n is None else n
+    width = max(
+        1,
+        min(spark.sparkContext.defaultParallelism, -(-total // SMALLEST_TASK)),
+        -(-total // ENTRIES_PER_TASK),
+    )
+    chunk = hub or max(ENTRIES_PER_TASK // 4, -(-total // (4 * width)))
+    salted = biggest > chunk
+    uneven = False
+    if keys:
+        sizes = selves.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+        largest = sizes.agg(F.max("c")).first()[0] or 0
+        uneven = largest > max(SMALLEST_TASK, 2 * n // width)
     order = [*keys, "id"]
     if salted:
         copies = counts.select(*keys, "id", F.ceil(F.col("c") / chunk).cast("int").alias("k"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from checks.iterative import BFS
 from checks.registry import query, r
-from checks.scores import CAND, LABELLED, candidates, labelled
+from checks.scores import LABELLED, labelled
 from linktide.operators import dialect as DI
 from linktide.operators import evaluate as EV
 from linktide.operators import impulse as IM
@@ -67,18 +67,18 @@ def _(d):
 
 
 @query("shapley_shares", """
-WITH claims AS (SELECT DISTINCT token || '/' || valence AS player, CASE WHEN price < 0.5 THEN 'low' ELSE 'high' END AS cluster FROM links WHERE epoch = 2001 AND src <> dst)
+WITH claims AS (SELECT DISTINCT token AS cluster, valence AS player FROM links WHERE epoch = 2001 AND src <> dst)
 SELECT cluster, count(*) AS players, true AS whole FROM claims GROUP BY cluster""", "links")
 def _(d):
     # Default parameters; a cluster's shares must sum to the value of all its players.
     links, base = d.links, d.links.where("epoch < 2001")
     batch = links.where("epoch = 2001 AND src <> dst").select(
-        "*", F.concat_ws("/", "token", "valence").alias("player"),
-        F.when(F.col("price") < 0.5, "low").otherwise("high").alias("cluster"))
-    shares = V.shapley(base, batch, hops=1)
-    sums = shares.groupBy("cluster").agg(F.count("player").alias("players"), F.sum("share").alias("share"))
+        "*", F.col("valence").cast("string").alias("player"), F.col("token").alias("cluster"))
+    ground = V.stage(base, batch, hops=1)
+    sums = V.shapley(base, batch, ground=ground).groupBy("cluster").agg(
+        F.count("player").alias("players"), F.sum("share").alias("share"))
     everyone = batch.select("cluster", F.lit("all").alias("coalition"), "player").distinct()
-    worth = V.stage(base, batch, hops=1).values(everyone).select("cluster", "value")
+    worth = ground.values(everyone).select("cluster", "value")
     return sums.join(worth, "cluster").select(
         "cluster", "players", (F.abs(F.col("share") - F.col("value")) < 1e-9).alias("whole"))
 
@@ -187,24 +187,46 @@ def _(d):
     return EV.ego_focus(d.edges, SHORT)
 
 
+#: Rounds after which every seeded walk of the query below is within its error.
+PUSH_ROUNDS, PUSH_ERROR = 24, 0.05
+
+
+def push_sql() -> str:
+    """The rounds of the residual push, one after the other, and the walks they give."""
+    parts = []
+    for i in range(PUSH_ROUNDS):
+        parts.append(f"""
+m{i} AS MATERIALIZED (SELECT query, id, r, l > {PUSH_ERROR} AND r >= {PUSH_ERROR} / n AS moves FROM
+  (SELECT *, sum(r) OVER (PARTITION BY query) AS l, count(*) OVER (PARTITION BY query) AS n FROM r{i})),
+r{i + 1} AS MATERIALIZED (SELECT query, id, sum(r) AS r FROM (
+  SELECT query, id, r FROM m{i} WHERE NOT moves
+  UNION ALL SELECT query, dst, 0.85 * r * p FROM m{i} JOIN walk ON src = id WHERE moves
+  UNION ALL SELECT s.query, s.id, s.r * b.r FROM r0 s JOIN
+    (SELECT query, sum(0.85 * r) AS r FROM m{i} WHERE moves AND id NOT IN (SELECT src FROM walk) GROUP BY query) b USING (query))
+  GROUP BY query, id)""")
+    gains = " UNION ALL ".join(f"SELECT query, id, 0.15 * r AS x FROM m{i} WHERE moves" for i in range(PUSH_ROUNDS))
+    return ",".join(parts) + f""",
+walks AS MATERIALIZED (SELECT query, id, round(sum(x), 12) AS score FROM ({gains}) GROUP BY query, id)"""
+
+
 @query("retrieval_at_k", f"""
-WITH {CAND}, marked AS (SELECT a, b, (row_number() OVER (ORDER BY a, b) - 1) % 5 = 0 AS held FROM edges),
+WITH marked AS (SELECT a, b, (row_number() OVER (ORDER BY a, b) - 1) % 5 = 0 AS held FROM edges),
 dir AS (SELECT a AS query, b AS id, held FROM marked UNION ALL SELECT b, a, held FROM marked),
-pool AS (SELECT a, b FROM neg UNION ALL SELECT a, b FROM edges),
-prox AS (SELECT a AS query, b AS id, coalesce(p.focus, 0) * coalesce(q.focus, 0) AS score FROM
-  (SELECT a, b FROM pool UNION ALL SELECT b, a FROM pool) e LEFT JOIN phi p ON a = p.id LEFT JOIN phi q ON b = q.id),
-best AS (SELECT query, prox.id, row_number() OVER (PARTITION BY query ORDER BY score DESC, prox.id) AS rk
-  FROM prox ANTI JOIN (SELECT query, id FROM dir WHERE NOT held) k ON prox.query = k.query AND prox.id = k.id),
+walk AS MATERIALIZED (SELECT query AS src, id AS dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY query) AS p FROM dir WHERE NOT held),
+r0 AS MATERIALIZED (SELECT DISTINCT query, query AS id, 1.0::DOUBLE AS r FROM dir WHERE held AND query % 100 = 0 AND query IN (SELECT src FROM walk)), {push_sql()},
+best AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rk
+  FROM walks ANTI JOIN (SELECT query, id FROM dir WHERE NOT held) k ON walks.query = k.query AND walks.id = k.id WHERE query <> id),
 hits AS (SELECT dir.query, count(*) AS h FROM best JOIN dir ON held AND best.query = dir.query AND best.id = dir.id WHERE rk <= 10 GROUP BY 1)
-SELECT DISTINCT dir.query, round(coalesce(h, 0) / 10.0, 9) AS precision FROM dir LEFT JOIN hits ON dir.query = hits.query WHERE held""", "links edges phi")
+SELECT DISTINCT dir.query, round(coalesce(h, 0) / 10.0, 9) AS precision FROM dir LEFT JOIN hits ON dir.query = hits.query
+WHERE held AND dir.query % 100 = 0""", "links edges")
 def _(d):
-    edges = d.edges
+    # A search: every hundredth node asks, all nodes answer.
     turn = lambda df, a, b: df.select(F.col("a").alias(a), F.col("b").alias(b)).union(df.select("b", "a"))
-    marked = EV.split_edges(edges, ["a", "b"])
+    marked = EV.split_edges(d.edges, ["a", "b"])
     held, known = (turn(marked.where(c), "query", "id") for c in ("held_out", "NOT held_out"))
-    pairs = turn(EV.non_edges(candidates(d), edges).unionByName(edges), "a", "b")
-    near = EV.affinity(pairs, d.phi).select(F.col("a").alias("query"), F.col("b").alias("id"), "score")
-    return EV.retrieval_at_k(near, held, known, 10)
+    held = held.where("query % 100 = 0")
+    adj = known.select(F.col("query").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    return EV.retrieval_by_walks(adj, held, known, 10, error=PUSH_ERROR)
 
 
 @query("spanning_tree", """WITH start AS (SELECT min(a) AS id FROM edges), """ + BFS.format(hops=16) + """,

@@ -107,6 +107,21 @@ def _(d):
     return d.links.select("src", "dst", C.signed_stake("valence", "amount").alias("stake"))
 
 
+@query("effective_links_by_token", """
+WITH kept AS (SELECT l.*, amount * rho AS scaled FROM links l JOIN token_weights t ON l.token = t.token WHERE src <> dst),
+counted AS (SELECT neuron, count(*) AS n FROM kept GROUP BY neuron),
+priced AS (SELECT k.neuron, k.src, k.dst, scaled + coalesce(will, 0) // n AS attention, coalesce(kappa, 1) AS kappa,
+                  CASE WHEN k.src < k.dst THEN greatest(0, least(1, k.price)) ELSE 0.5 END AS price
+           FROM kept k JOIN counted USING (neuron) LEFT JOIN will USING (neuron) LEFT JOIN karma USING (neuron))
+SELECT neuron, src, dst, round(attention / (SELECT max(attention) FROM priced) * kappa * price, 9) AS w FROM priced
+WHERE attention * kappa * price > 0""", "links karma will token_weights")
+def _(d):
+    ctx = context(d)
+    ctx.tokens = d.token_weights
+    ctx.prices = d.links.where("src > dst").select("src", "dst", F.lit(0.5).alias("price")).distinct()
+    return W.effective_links(d.links, ctx).select("neuron", "src", "dst", r("w"))
+
+
 @query("token_weights", "SELECT src, dst, l.token, amount * rho AS weighted FROM links l JOIN token_weights t ON l.token = t.token", "links token_weights")
 def _(d):
     return W.apply_token_weights(d.links, d.token_weights).select(

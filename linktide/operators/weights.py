@@ -16,12 +16,17 @@ class Context:
     """Author and market tables of one epoch; each is optional.
 
     ``karma(neuron, kappa)`` defaults to 1, ``will(neuron, will)`` to 0,
-    ``gain(id, gain)`` to 1.
+    ``gain(id, gain)`` to 1. With ``tokens(token, rho)`` an amount counts in its
+    token's weight, and a token without one makes the job fail. ``prices(src, dst,
+    price)`` are the market prices of pairs; a pair without one keeps the price of its
+    links, which is 1 by default.
     """
 
     karma: DataFrame | None = None
     will: DataFrame | None = None
     gain: DataFrame | None = None
+    tokens: DataFrame | None = None
+    prices: DataFrame | None = None
 
 
 def drop_self_loops(links: DataFrame) -> DataFrame:
@@ -97,12 +102,19 @@ def with_stake(links: DataFrame, ctx: Context = Context()) -> DataFrame:
     )
 
 
+def _price(links: DataFrame) -> Column:
+    return F.col("price") if "price" in links.columns else F.lit(1.0)
+
+
 def effective_links(links: DataFrame, ctx: Context = Context()) -> DataFrame:
     """Links with weight ``w`` = stake * karma * price; weightless links vanish."""
     kept = drop_self_loops(links)
-    price: Column = (
-        clamp("price", 0, 1) if "price" in links.columns else F.lit(1.0)
-    )
+    if ctx.tokens is not None:
+        kept = apply_token_weights(kept, ctx.tokens).withColumn("amount", F.col("amount") * F.col("rho"))
+    if ctx.prices is not None:
+        priced = attach(kept.withColumn("__own", _price(links)), ctx.prices.select("src", "dst", F.col("price").alias("__market")), ["src", "dst"])
+        kept = priced.withColumn("price", F.coalesce("__market", "__own")).drop("__market", "__own")
+    price = clamp(_price(kept), 0, 1)
     weighted = with_stake(kept, ctx).withColumn("w", F.col("stake") * F.col("kappa") * price)
     if ctx.gain is not None:
         gains = ctx.gain.select(F.col("id").alias("dst"), "gain")

@@ -11,7 +11,7 @@ from linktide.operators.dynamics import dwell, excitability_gain, velocity
 from linktide.operators.focus import FocusParams, focus
 from linktide.operators.graph import adjacency
 from linktide.operators.truth import accumulate
-from linktide.operators.weights import effective_links
+from linktide.operators.weights import Context, effective_links
 from linktide.sources.link_records import LinkRecordSource
 from linktide.sources.tables import (
     read_context,
@@ -22,7 +22,16 @@ from linktide.sources.tables import (
     write_focus,
     write_tensors,
 )
-from linktide.streaming.epochs import focus_state_stream, karma_stream, read_karma, run_epochs
+from linktide.streaming.epochs import (
+    author_totals,
+    finish_epochs,
+    focus_state_stream,
+    karma_stream,
+    merged_adjacency,
+    pair_totals,
+    read_karma,
+    run_epochs,
+)
 
 
 def record(neuron, src, dst, amount, valence, block):
@@ -121,6 +130,46 @@ def test_epochs_close_and_late_links_move_on(spark, tmp_path):
     got = {r["id"]: r["focus"] for r in out.where("epoch = 1").collect()}
     assert all(abs(got[r["id"]] - r["focus"]) < 1e-12 for r in want.collect())
     assert spark.read.parquet(f"{tmp_path}/out/progress").agg(F.sum("late")).first()[0] == 1
+    assert out.where("epoch = 2").isEmpty()
+    finish_epochs(spark, f"{tmp_path}/out", params=params, steps=2)
+    everything = spark.createDataFrame([*demo, (9, 4, 2, 50, 12), (10, 2, 4, 70, 5), (11, 3, 4, 10, 25)], schema)
+    want = {r["id"]: r["focus"] for r in focus(adjacency(effective_links(everything)), params, steps=2).nodes.collect()}
+    got = {r["id"]: r["focus"] for r in spark.read.parquet(f"{tmp_path}/out/focus").where("epoch = 2").collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+def test_merged_totals_give_the_adjacency(spark):
+    """Whatever arrives in which epoch, with will shares, karma and prices."""
+    rows = [(i % 5, i % 7, i * 3 % 7, 10 + i * i % 90, [0.0, 0.5, 1.0, 1.7][i % 4], i) for i in range(80)]
+    links = spark.createDataFrame(rows, "neuron bigint, src bigint, dst bigint, amount bigint, price double, ord int")
+    karma = spark.createDataFrame([(0, 0.0), (1, 2.5)], "neuron bigint, kappa double")
+    will = spark.createDataFrame([(1, 1000), (2, 50), (9, 7)], "neuron bigint, will bigint")
+    pairs = authors = None
+    for part in ("ord < 10", "ord >= 10 AND ord < 50", "ord >= 50"):
+        p, a = pair_totals(links.where(part)), author_totals(links.where(part))
+        pairs, authors = (p, a) if pairs is None else (
+            pairs.unionByName(p).groupBy("neuron", "src", "dst").agg(F.sum("weighted").alias("weighted"), F.sum("priced").alias("priced")),
+            authors.unionByName(a).groupBy("neuron").agg(F.sum("links").alias("links"), F.max("top").alias("top")))
+    for ctx in (Context(), Context(karma=karma, will=will)):
+        want = {(r.src, r.dst): r.w for r in adjacency(effective_links(links, ctx)).collect()}
+        got = {(r.src, r.dst): r.w for r in merged_adjacency(pairs, authors, ctx).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_token_weights_and_prices_of_a_context(spark, tmp_path):
+    rows = [(1, 1, 2, 100, "A"), (1, 2, 3, 100, "B"), (2, 3, 1, 40, "B")]
+    links = spark.createDataFrame(rows, "neuron bigint, src bigint, dst bigint, amount bigint, token string")
+    for name, table in (
+        ("tokens", spark.createDataFrame([("A", 0.5, 1), ("B", 2.0, 1), ("B", 9.0, 2)], "token string, rho double, epoch int")),
+        ("prices", spark.createDataFrame([(3, 1, 0.25, 1)], "src bigint, dst bigint, price double, epoch int")),
+    ):
+        table.write.partitionBy("epoch").parquet(f"{tmp_path}/{name}")
+    ctx = read_context(spark, str(tmp_path), 1)
+    assert ctx.karma is None and ctx.will is None
+    got = {(r.src, r.dst): r.w for r in effective_links(links, ctx).collect()}
+    assert got == {(1, 2): 50 / 200, (2, 3): 1.0, (3, 1): 80 / 200 * 0.25}
+    with pytest.raises(Exception, match="no weight for token C"):
+        effective_links(links.withColumn("token", F.lit("C")), ctx).collect()
 
 
 def test_streamed_karma_equals_batch(spark, tmp_path):

@@ -213,11 +213,12 @@ def _(d):
     return NB.orbit_counts(d.adjacency)
 
 
-@query("ego_nets", f"""WITH {TRI} SELECT ego, count(*) AS pairs FROM (
+@query("ego_nets", f"""WITH {TRI}
   SELECT a AS ego, a, b FROM edges UNION ALL SELECT b, a, b FROM edges UNION ALL
-  SELECT u, v, w FROM tri UNION ALL SELECT v, u, w FROM tri UNION ALL SELECT w, u, v FROM tri) GROUP BY ego""", "edges")
+  SELECT u, least(v, w), greatest(v, w) FROM tri UNION ALL SELECT v, least(u, w), greatest(u, w) FROM tri UNION ALL
+  SELECT w, least(u, v), greatest(u, v) FROM tri""", "edges")
 def _(d):
-    return NB.ego_nets(d.edges).groupBy("ego").agg(F.count("*").alias("pairs"))
+    return NB.ego_nets(d.edges)
 
 
 STEPS = 15  # what the contraction coefficient asks for on these links

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linktide.operators.keyed import attach
 from linktide.session import settle
 
+CELL_PAIRS = 200_000  # pairs that meet in one task of a triangle search
+SMALL_HUB = 10_000  # pairs of a node that any cell can take
+WEDGES = 2_000_000  # wedges that such a task looks up at once
 PIECES = 8  # tables of one size that are joined into a larger one
 
 
@@ -99,32 +105,94 @@ def total_gravity(gravities: DataFrame) -> DataFrame:
     return gravities.agg(F.sum("gravity").alias("total_gravity"))
 
 
-def triangles(pairs: DataFrame) -> DataFrame:
-    """Every triangle of ``pairs(a, b)`` once, as (u, v, w).
-
-    Pairs point from the lower-degree end to the higher one. A node then has at
-    most sqrt(2 E) outgoing pairs, hubs have few, and only outgoing pairs are
-    matched, so no group of neighbours is ever crossed with itself.
-    """
-    arcs = both_ways(pairs)
-    degrees = arcs.groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
+def _oriented(pairs: DataFrame) -> DataFrame:
+    """(x, y, dy): every pair from its end of lower degree to the other, whose degree is ``dy``; ids break ties."""
+    degrees = both_ways(pairs).groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
     sized = attach(
         attach(pairs, degrees.toDF("a", "__da"), ["a"], "inner"),
         degrees.toDF("b", "__db"), ["b"], "inner",
     )
     low = F.struct(F.col("__da").alias("deg"), F.col("a").alias("id"))
     high = F.struct(F.col("__db").alias("deg"), F.col("b").alias("id"))
-    directed = settle(
-        sized.select(
-            F.least(low, high).alias("u"), F.greatest(low, high).alias("v")
-        )
-    )
-    first = directed.select("u", F.col("v").alias("x"))
-    wedges = first.join(directed.select("u", F.col("v").alias("y")), "u").where("x < y")
-    closed = wedges.join(directed.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])
-    return closed.select(
-        F.col("u.id").alias("u"), F.col("x.id").alias("v"), F.col("y.id").alias("w")
-    )
+    ends = sized.select(F.least(low, high).alias("x"), F.greatest(low, high).alias("y"))
+    return ends.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("y.deg").alias("dy"))
+
+
+def _cube(arcs: DataFrame, sides: int) -> DataFrame:
+    """(cell, role, x, y): every arc in the ``3 * sides`` cells where it can close a triangle.
+
+    A triangle u -> v -> w with u -> w belongs to the cell of the hashes of u, v and w; an arc
+    knows two of them in each of its three roles and goes to all values of the third.
+    """
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(sides)).cast("int")
+    all_of = F.sequence(F.lit(0), F.lit(sides - 1))
+    cell = lambda i, j, k: ((i * sides) + j) * sides + k
+    x, y = hashed("x"), hashed("y")
+    placed = [
+        F.transform(all_of, lambda k: F.struct(F.lit(0).alias("role"), cell(x, y, k).alias("cell"))),
+        F.transform(all_of, lambda k: F.struct(F.lit(1).alias("role"), cell(x, k, y).alias("cell"))),
+        F.transform(all_of, lambda k: F.struct(F.lit(2).alias("role"), cell(k, x, y).alias("cell"))),
+    ]
+    return arcs.select("x", "y", F.explode(F.concat(*placed)).alias("p")).select("p.cell", "p.role", "x", "y")
+
+
+def _closed(cell: pa.Table) -> pa.Table:
+    """Triangles of one cell: per arc u -> v the shorter of two neighbour lists is looked up in the other."""
+    role = cell.column("role").to_numpy()
+    ids = pa.chunked_array([*cell.column("x").chunks, *cell.column("y").chunks]).combine_chunks()
+    coded = ids.dictionary_encode()
+    place = coded.indices.to_numpy().astype(np.int64)
+    x, y = place[: len(role)], place[len(role) :]
+    n = max(1, len(coded.dictionary))
+
+    def codes(r: int) -> np.ndarray:
+        return np.sort(x[role == r] * n + y[role == r])
+
+    uv, uw, vw = codes(0), codes(1), codes(2)
+    out = []
+    if len(uv) and len(uw) and len(vw):
+        u, v = uv // n, uv % n
+        spans = [(np.searchsorted(c, k * n), np.searchsorted(c, (k + 1) * n)) for c, k in ((uw, u), (vw, v))]
+        from_u = spans[0][1] - spans[0][0] <= spans[1][1] - spans[1][0]
+        for chosen, (begin, end), listed, other, fixed in ((from_u, spans[0], uw, vw, v), (~from_u, spans[1], vw, uw, u)):
+            rows = np.flatnonzero(chosen & (end > begin))
+            sizes = (end - begin)[rows]
+            cuts = np.searchsorted(np.cumsum(sizes), np.arange(WEDGES, sizes.sum() + WEDGES, WEDGES), "left") + 1
+            for part in np.split(np.arange(len(rows)), np.unique(np.minimum(cuts, len(rows)))):
+                count = sizes[part]
+                of = np.repeat(rows[part], count)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + begin[of]
+                w = listed[at] % n
+                asked = fixed[of] * n + w
+                hit = other[np.minimum(np.searchsorted(other, asked), len(other) - 1)] == asked
+                out.append(np.stack([u[of[hit]], v[of[hit]], w[hit]]))
+    found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+    return pa.table({name: coded.dictionary.take(pa.array(found[i])) for i, name in enumerate("uvw")})
+
+
+def triangles(pairs: DataFrame) -> DataFrame:
+    """Every triangle of ``pairs(a, b)`` once, as (u, v, w), degrees not falling.
+
+    Pairs point from the lower-degree end to the higher one. One shuffle deals them to the
+    cells of a cube (see ``_cube``): of E pairs a cell holds about 3 E / sides^2, and ``sides``
+    keeps that near ``CELL_PAIRS``. A cell finds its triangles on its own, and no wedge leaves it.
+    A node of more than E / sides^2 pairs would fill cells; a triangle with such nodes
+    has one as its last, so all of them are found by joins on the pairs into these nodes (fewer than
+    2 sides^2), which are spread by their other ends, and the cube does without those pairs.
+    """
+    arcs = settle(_oriented(pairs))
+    total = arcs.count()
+    sides = max(2, math.ceil(math.sqrt(3 * total / CELL_PAIRS)))
+    kind = dict(pairs.dtypes)["a"]
+    crowded = F.col("dy") > max(SMALL_HUB, total // sides**2)
+    cells = _cube(arcs.where(~crowded).select("x", "y"), sides)
+    inside = cells.groupBy("cell").applyInArrow(_closed, ", ".join(f"{c} {kind}" for c in "uvw"))
+    into = settle(arcs.where(crowded).select("x", "y"))
+    if into.isEmpty():
+        return inside
+    wedges = attach(arcs.select(F.col("x").alias("u"), F.col("y").alias("v")), into.toDF("u", "w"), ["u"], "inner")
+    closed = wedges.where("v != w").join(into.toDF("v", "w"), ["v", "w"])
+    return inside.unionByName(closed.select("u", "v", "w"))
 
 
 def triangle_weights(adj: DataFrame) -> DataFrame:

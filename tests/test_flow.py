@@ -22,6 +22,7 @@ from linktide.sources.tables import (
     write_focus,
     write_tensors,
 )
+from linktide.streaming import epochs
 from linktide.streaming.epochs import (
     author_totals,
     finish_epochs,
@@ -172,8 +173,9 @@ def test_token_weights_and_prices_of_a_context(spark, tmp_path):
         effective_links(links.withColumn("token", F.lit("C")), ctx).collect()
 
 
-def test_streamed_karma_equals_batch(spark, tmp_path):
-    rows = [(i, i % 3 if i % 2 else 0, ((i * 37) % 19 - 9) / 7) for i in range(120)]
+def test_streamed_karma_equals_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(epochs, "COMPACTED", 2)
+    rows = [(i, 9 if i < 9 else i % 3 if i % 2 else 0, ((i * 37) % 19 - 9) / 7) for i in range(120)]
     schema = "ord int, neuron int, score double"
     for part in range(3):
         spark.createDataFrame(rows[part * 40 : part * 40 + 40], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
@@ -181,6 +183,8 @@ def test_streamed_karma_equals_batch(spark, tmp_path):
         q = karma_stream(stream, f"{tmp_path}/out", 0.5, checkpoint=f"{tmp_path}/cp")
         q.processAllAvailable()
         q.stop()
+    held = lambda name: {(r["batch"], r["neuron"]) for r in spark.read.parquet(f"{tmp_path}/out/{name}").collect()}
+    assert (0, 9) in held("ledger") and (2, 9) not in held("ledger") and (1, 9) in held("snapshot")
     want = {r["neuron"]: r["kappa"] for r in accumulate(spark.createDataFrame(rows, schema), 0.5).collect()}
     got = {r["neuron"]: r["kappa"] for r in read_karma(spark, f"{tmp_path}/out").collect()}
     assert set(want) == set(got) and all(abs(want[k] - got[k]) < 1e-9 for k in want)

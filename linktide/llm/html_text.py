@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -19,7 +20,7 @@ INLINE = frozenset(
     " strike strong sub sup time tt u var".split()
 )
 #: Cells of a row are one block, with a space between them.
-SPACED = frozenset("br td th wbr img".split())
+SPACED = frozenset("br td th img".split())
 NEVER = frozenset(
     "head title script style noscript template nav footer aside form button select option textarea label iframe svg"
     " canvas object audio video menu dialog fieldset".split()
@@ -35,44 +36,60 @@ HINTS = frozenset(
 STARTS = ("cookie", "sidebar", "advert", "sponsor", "newsletter", "breadcrumb", "masthead")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 NEGATED = re.compile(r"(?:has|no|with|without|is|not)[-_]", re.I)
+NEGATIONS = frozenset("has no with without not".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
 #: Elements that may be the container of a content region.
 REGIONS = frozenset("body div section td article main center".split())
+#: Share of a page's text that its articles must hold to stand for the page.
+MAIN_SHARE = 1 / 3
 #: Standard deviation, in lines, and reach of the smoothing.
 SIGMA, REACH = 1.0, 2
 _PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _is_clutter(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _hinted(value: str) -> set[str]:
+    """Words of a class or id that hint at clutter; one after a negation does not."""
+    found = set()
+    for one in value.split():
+        if not NEGATED.match(one):
+            words = [w.lower() for w in _PARTS.split(one)]
+            for before, word in zip(["", *words], words):
+                if (word in HINTS or word.startswith(STARTS)) and before not in NEGATIONS:
+                    found.add(word)
+    return found
+
+
+def _is_clutter(tag: str, attrs: list[tuple[str, str | None]], hints: bool = True) -> bool | str:
+    """Whether an element is clutter; "header" for one that may hold the title of an article."""
     if tag in NEVER:
         return True
     if tag in ("html", "body", "main"):
         return False
+    found = set()
     for name, value in attrs:
         value = value or ""
         if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "").lower()):
             return True
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id"):
-            for one in value.split():
-                if not NEGATED.match(one) and any(
-                    p in HINTS or p.startswith(STARTS) for p in (x.lower() for x in _PARTS.split(one))
-                ):
-                    return True
-    return False
+        if hints and name in ("class", "id"):
+            found |= _hinted(value)
+    return "header" if found == {"header"} else bool(found)
 
 
 class _Lines(HTMLParser):
     """Turns parser events into lines: text of a block, tags since the last, and its region.
 
-    Blocks inside clutter are not kept, their tags count for the next line.
+    Blocks inside clutter are not kept, their tags count for the next line. ``lenient``
+    goes by tags alone, and an article or main is content wherever it stands.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, lenient: bool = False) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, clutter, region
+        self.lenient = lenient
+        self.open: list[tuple[str, bool | str, int]] = []  # tag, clutter, region
+        self.count: Counter[str] = Counter()  # open elements of every tag
         self.lines: list[tuple[str, int, int]] = []  # text, tags, region
         self.main: set[int] = set()  # regions that are, or are inside, an article or main
         self.regions = 0
@@ -80,7 +97,7 @@ class _Lines(HTMLParser):
         self.tags = 0
 
     def _clutter(self) -> bool:
-        return bool(self.open) and self.open[-1][1]
+        return bool(self.open and self.open[-1][1])
 
     def _region(self) -> int:
         return self.open[-1][2] if self.open else 0
@@ -92,9 +109,16 @@ class _Lines(HTMLParser):
             self.lines.append((text, self.tags, self._region()))
             self.tags = 0
 
+    def _push(self, tag: str, clutter: bool | str, region: int) -> None:
+        self.open.append((tag, clutter, region))
+        self.count[tag] += 1
+
     def _close(self, tag: str, within: frozenset[str] = frozenset()) -> None:
+        if not self.count[tag]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
+                self.count.subtract(t for t, _, _ in self.open[at:])
                 del self.open[at:]
                 return
             if self.open[at][0] in within:
@@ -110,10 +134,14 @@ class _Lines(HTMLParser):
             if tag == "hr":
                 self.end_block()
             return
-        clutter = self._clutter() or _is_clutter(tag, attrs)
+        top = tag in MAIN and self._region() not in self.main  # its class tells its subject
+        own = _is_clutter(tag, attrs, not (self.lenient or top))
+        clutter = self._clutter() or own
+        if self.lenient and tag in MAIN:
+            clutter = False
         if tag in INLINE:
-            if clutter and not self._clutter():
-                self.open.append((tag, True, self._region()))
+            if clutter:  # also those inside clutter, whose end tags must not close it
+                self._push(tag, True, self._region())
             return
         if tag not in SPACED:
             self.end_block()
@@ -122,9 +150,9 @@ class _Lines(HTMLParser):
                 self._close("li", frozenset(("ul", "ol", "menu")))
         region = self._region()
         if tag == "header" and not self._clutter():
-            clutter = True  # its headings come back inside an article
-        elif tag in HEADINGS and clutter and self.open[-1][0] == "header" and region in self.main:
-            clutter = any(c for t, c, _ in self.open if t != "header") or _is_clutter(tag, attrs)
+            clutter = "header"  # its headings come back inside an article
+        elif tag in HEADINGS and clutter and self.open and self.open[-1][1] == "header" and region in self.main:
+            clutter = bool(own) or any(c is True for _, c, _ in self.open)
         if tag in REGIONS and not clutter:
             inside = region in self.main
             if tag in MAIN or not inside:
@@ -132,7 +160,7 @@ class _Lines(HTMLParser):
                 region = self.regions
                 if tag in MAIN or inside:
                     self.main.add(region)
-        self.open.append((tag, clutter, region))
+        self._push(tag, clutter, region)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -181,17 +209,25 @@ def _content(lines: list[tuple[str, int, int]]) -> set[int]:
 def main_text(html: str | None) -> str:
     """Blocks of the main content, one a line; empty for null or if there is none.
 
-    A page with article or main elements is read inside them only.
+    A page whose article and main elements hold at least ``MAIN_SHARE`` of its text is
+    read inside them only. If clutter takes all of a page (an element left open, a class that
+    misleads), the page is read again by its tags alone.
     """
     if not html:
         return ""
-    page = _Lines()
-    page.feed(html)
-    page.close()
-    page.end_block()
-    lines = [x for x in page.lines if x[2] in page.main] or page.lines
-    if not lines:
+    for lenient in (False, True):
+        page = _Lines(lenient)
+        page.feed(html)
+        page.close()
+        page.end_block()
+        if page.lines:
+            break
+    else:
         return ""
+    lines = [x for x in page.lines if x[2] in page.main]
+    size = lambda rows: sum(len(t) for t, _, _ in rows)
+    if size(lines) < MAIN_SHARE * size(page.lines):
+        lines = page.lines
     chosen = _content(lines)
     return "\n".join(text for i, (text, _, _) in enumerate(lines) if i in chosen)
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -262,3 +263,36 @@ def test_pipeline_on_an_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0, name
+
+
+LONG = "Long sentences with many ordinary words carry the story of this article further along. " * 3
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        # end tags of inline elements inside clutter do not close it
+        (f"<article><p>{LONG}</p><span class='ad'>BUY <span>now</span> LEAK</span><p>{LONG}</p></article>", [LONG, LONG]),
+        (f"<article><p>{LONG}</p><a class='share'><div><a>s</a>X</div>Y</a><p>{LONG}</p></article>", [LONG, LONG]),
+        # the class of an article tells its subject; a negated hint is none
+        (f"<article class='post category-social'><p>{LONG}</p></article>", [LONG]),
+        (f"<article class='post tag-search'><p>{LONG}</p></article>", [LONG]),
+        (f"<div class='content-with-sidebar'><p>{LONG}</p></div>", [LONG]),
+        (f"<div class='sidebar'><p>menu</p></div><div class='no-sidebar'><p>{LONG}</p></div>", [LONG]),
+        (f"<article><div class='post-header'><h1>Title</h1><span>by me</span></div><p>{LONG}</p></article>", ["Title", LONG]),
+        # an element left open takes the page, so tags alone decide
+        (f"<nav><a href=/>home</a><article><h1>T</h1><p>{LONG}</p></article>", ["T", LONG]),
+        # teasers are articles, the text is not
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><article>Teaser one</article><article>Teaser two</article>", [LONG, LONG]),
+        (f"<article><p>super<wbr>cali {LONG}</p></article>", [f"supercali {LONG}"]),
+        ("<nav>only</nav><script>x</script>", []),
+    ],
+)
+def test_page_text_of_ordinary_pages(html, want):
+    assert html_text.main_text(f"<html><body>{html}</body></html>") == "\n".join(w.strip() for w in want)
+
+
+def test_stray_end_tags_are_cheap():
+    begun = time.time()
+    assert html_text.main_text("<body>" + "<div>" * 20_000 + f"<p>{LONG}</p>" + "</x>" * 20_000) == LONG.strip()
+    assert time.time() - begun < 5

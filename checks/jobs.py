@@ -229,6 +229,18 @@ def _(d):
     return EV.retrieval_by_walks(adj, held, known, 10, error=PUSH_ERROR)
 
 
+@query("sampled_negatives", """
+SELECT count(*) AS pairs, count(*) AS different, 0::BIGINT AS linked, 0::BIGINT AS turned FROM edges""", "edges")
+def _(d):
+    # As many pairs without a link as there are links.
+    edges = d.edges
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("id"))
+    found = EV.sampled_non_edges(nodes, edges, edges.count())
+    hit = found.join(edges.withColumn("hit", F.lit(1)), ["a", "b"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("a", "b").alias("different"),
+                   F.count("hit").alias("linked"), F.count_if(F.col("a") >= F.col("b")).alias("turned"))
+
+
 @query("spanning_tree", """WITH start AS (SELECT min(a) AS id FROM edges), """ + BFS.format(hops=16) + """,
 lvl AS MATERIALIZED (SELECT id, min(hop) AS h FROM bfs GROUP BY id),
 par AS (SELECT arcs.t AS id, min(arcs.id) AS parent FROM arcs JOIN lvl p ON arcs.id = p.id JOIN lvl c ON arcs.t = c.id AND c.h = p.h + 1 GROUP BY 1)
@@ -268,9 +280,7 @@ def _(d):
 @query("focus_table", "SELECT epoch, id, round(focus, 9) AS focus FROM history", "history")
 def _(d):
     path = scratch(d)
-    history = d.history
-    for row in history.select("epoch").distinct().collect():  # one partition per epoch
-        TB.write_focus(history.where(F.col("epoch") == row[0]).drop("epoch"), path, row[0])
+    TB.write_focus(d.history, path)
     return TB.read_focus(d.spark, path).select("epoch", "id", r("focus"))
 
 

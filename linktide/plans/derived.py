@@ -7,6 +7,8 @@ no window over an order and therefore no task that holds a whole order.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("lineitem", "orders", "customer", "part", "supplier", "events", "documents", "labels")
@@ -75,12 +77,14 @@ NEEDS = {
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A derived view over ``folder``; table names are registered for the session."""
+    """A derived view over ``folder``; the tables it reads are registered for the session."""
+    sql = VIEWS[name].strip()
+    if NEEDS.get(name):
+        sql = f"WITH {with_views(*NEEDS[name])} {sql}"
     for table in TABLES:
-        spark.read.parquet(f"{folder}/{table}.parquet").createOrReplaceTempView(table)
-    if not NEEDS.get(name):
-        return spark.sql(VIEWS[name])
-    return spark.sql(f"WITH {with_views(*NEEDS[name])} {VIEWS[name].strip()}")
+        if re.search(rf"\b{table}\b", sql):
+            spark.read.parquet(f"{folder}/{table}.parquet").createOrReplaceTempView(table)
+    return spark.sql(sql)
 
 
 def with_views(*names: str) -> str:

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from linktide.llm.common import others, unit_hash, word_count
 from linktide.operators.keyed import attach
-from linktide.operators.ordering import numbered
+from linktide.operators.ordering import numbered, running_sums
 from linktide.session import settle
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: No source, and so no document, is taken more often than this.
 MOST_REPEATS = 3
+#: Equal parts of [0, 1) in which the sizes of a source are summed to find its cut; a power of two.
+CUT_PARTS = 4096
 
 
 def source_rates(
@@ -61,6 +63,39 @@ def source_rates(
     )
 
 
+def draw_cuts(sizes: DataFrame, rates: DataFrame) -> DataFrame:
+    """``rates`` with (``__edge``, ``__cut``): whose draw takes one more copy.
+
+    A source wants ``target - floor(rate) * source_size`` more words. Along its
+    draws, documents are taken while the middle of the next one stays within
+    them, so the words taken miss the target by half a document (or half of the
+    rows that share a draw) at most. Sizes are summed in equal parts of [0, 1);
+    only rows of the part where the sum crosses, one in ``CUT_PARTS``, are put in
+    order. A draw below ``__edge`` or up to ``__cut`` takes; null takes none.
+    """
+    keys = ["__none", "__name"]
+    open_ = rates.where(F.col("__rate") > F.floor("__rate")).select(
+        *keys, (F.col("__target") - F.floor("__rate") * F.col("__source_size")).alias("__more")
+    )
+    placed = sizes.withColumn("__part", F.floor(F.col("__draw") * CUT_PARTS))
+    parts = placed.groupBy(*keys, "__part").agg(F.sum("size").alias("__words"))
+    summed = running_sums(parts, {"__upto": F.col("__words")}, ["__part"], keys)
+    before = (F.col("__upto") - F.col("__words")).alias("__before")
+    edges = settle(
+        attach(summed, open_, keys, "inner").select(*keys, "__part", "__more", before)
+        .where(F.col("__before") <= F.col("__more"))
+        .groupBy(*keys).agg(F.max(F.struct("__part", "__before", "__more")).alias("__last"))
+        .select(*keys, F.col("__last.__part").alias("__at"), "__last.__before", "__last.__more")
+    )
+    near = attach(placed, edges, keys, "inner").where("__part = __at")
+    ties = near.groupBy(*keys, "__draw", "__before", "__more").agg(F.sum("size").alias("__words"))
+    run = running_sums(ties, {"__upto": F.col("__words")}, ["__draw"], keys)
+    middle = (2 * (F.col("__before") + F.col("__upto")) - F.col("__words")).cast("double")
+    cuts = run.where(middle <= 2 * F.col("__more")).groupBy(*keys).agg(F.max("__draw").alias("__cut"))
+    edge = edges.select(*keys, (F.col("__at") / F.lit(float(CUT_PARTS))).alias("__edge"))
+    return rates.join(edge, keys, "left").join(cuts, keys, "left")
+
+
 def planned_copies(
     docs: DataFrame,
     size: Column | None = None,
@@ -71,11 +106,15 @@ def planned_copies(
     """Every row with ``size, source_size, target, copies``.
 
     ``size`` defaults to the number of words. A document is taken floor(rate)
-    times, and once more if the hash of seed, id and text falls below the
-    fraction of the rate, so reruns agree, and repeated rows decide alike. An
+    times, and once more by a draw, the hash of seed and id (of the text if the
+    id is null), so reruns agree, and rows of one id decide alike. A draw takes
+    with the fraction of the rate as its probability; the cut that it is held
+    against is the fraction measured on the draws themselves (:func:`draw_cuts`),
+    so that also small sources meet their targets to half a document. An
     empty document has size 0 and follows the rate of its source; a source
     without any words has target and rate 0. The table of sources is joined
-    with a tag that lets adaptive execution split a hot source.
+    with a tag that lets adaptive execution split a hot source; texts are not
+    shuffled to find the cuts, only sizes and draws.
     """
     given = others(docs, "size", "source_size", "target", "copies")
     measured = docs.select(
@@ -86,15 +125,16 @@ def planned_copies(
         unit_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))
         .alias("__draw"),
     )
-    rates = source_rates(measured.select("__none", "__name", "size"), weights, most)
-    whole = F.floor("__rate")
-    extra = F.when(F.col("__draw") < F.col("__rate") - whole, 1).otherwise(0)
+    sizes = settle(measured.select("__none", "__name", "size", "__draw"))
+    rates = settle(draw_cuts(sizes, source_rates(sizes, weights, most)))
+    taking = (F.col("__draw") < F.col("__edge")) | F.coalesce(F.col("__draw") <= F.col("__cut"), F.lit(False))
+    extra = F.when(taking, 1).otherwise(0)
     return attach(measured, rates, ["__none", "__name"], "inner").select(
         *given,
         "size",
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
-        F.least(whole + extra, F.lit(most)).cast("bigint").alias("copies"),
+        F.least(F.floor("__rate") + extra, F.lit(most)).cast("bigint").alias("copies"),
     )
 
 

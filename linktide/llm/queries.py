@@ -75,10 +75,13 @@ rates AS (
   FROM ranked, last),
 taken AS (
   SELECT doc_id, size, source_size, target, draw,
-         CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate
+         CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate,
+         sum(size) OVER (PARTITION BY none, name ORDER BY draw RANGE UNBOUNDED PRECEDING) AS upto,
+         sum(size) OVER (PARTITION BY none, name, draw) AS tied
   FROM docs JOIN rates USING (none, name))
 SELECT doc_id, size, source_size, target,
-       (size * least(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END, 3))::BIGINT AS taken
+       (size * least(floor(rate) + CASE WHEN rate > floor(rate) AND (2 * upto - tied)::DOUBLE
+          <= 2 * (target - floor(rate) * source_size) THEN 1 ELSE 0 END, 3))::BIGINT AS taken
 FROM taken
 """
 

@@ -26,6 +26,7 @@ from linktide.operators.propagate import entry_table
 from linktide.operators.spectral import embedding_matrix, spectral_embedding, truncated_svd
 from linktide.plans.compile import architecture
 from linktide.session import ensure_checkpoint_dir
+from linktide.sources import link_records as RECORDS
 from linktide.sources import tables as TB
 from linktide.streaming import epochs as ST
 
@@ -284,6 +285,23 @@ def _(d):
     return TB.read_focus(d.spark, path).select("epoch", "id", r("focus"))
 
 
+@query("link_records", """
+SELECT sha256(CAST(neuron AS VARCHAR)) AS neuron, sha256(CAST(src AS VARCHAR)) AS src, sha256(CAST(dst AS VARCHAR)) AS dst,
+       CASE token WHEN 'F' THEN 1 ELSE 2 END AS token, amount, valence, epoch AS block FROM links""", "links")
+def _(d):
+    RECORDS.register(d.spark)
+    path = scratch(d)
+    ids = [F.sha2(F.col(c).cast("string"), 256).alias(c) for c in ("neuron", "src", "dst")]
+    d.links.select(
+        *ids, F.when(F.col("token") == "F", 1).otherwise(2).cast("bigint").alias("token"), F.col("amount").cast("decimal(38,0)").alias("amount"),
+        F.col("valence").cast("tinyint").alias("valence"), F.col("epoch").cast("bigint").alias("block"),
+    ).sortWithinPartitions("block").write.format("link_records").mode("append").save(path)
+    load = lambda **options: d.spark.read.format("link_records").options(**options).load(path)
+    early, late = load(maxBlock=1995), load(minBlock=1996, tokens="1")
+    rows = early.unionByName(late).unionByName(load(minBlock=1996, tokens="2"))
+    return rows.withColumn("amount", F.col("amount").cast("bigint")).withColumn("valence", F.col("valence").cast("int"))
+
+
 @query("tensor_table", "SELECT id AS row, greatest(-32768, least(32767, round(focus * 100000 * 256))) / 256.0 AS value FROM phi", "phi")
 def _(d):
     path = scratch(d)

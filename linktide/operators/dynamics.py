@@ -28,6 +28,12 @@ def _ordered():
     return Window.partitionBy("id").orderBy("epoch")
 
 
+def _numbered_epochs(history: DataFrame) -> DataFrame:
+    """(epoch, __at), one row per epoch."""
+    order = F.row_number().over(Window.orderBy("epoch"))
+    return history.select("epoch").distinct().withColumn("__at", order)
+
+
 def velocity(history: DataFrame) -> DataFrame:
     """Focus less the focus of the epoch before, 0 where that is absent."""
     earlier = F.coalesce(F.lag("focus").over(_ordered()), F.lit(0.0))
@@ -35,16 +41,20 @@ def velocity(history: DataFrame) -> DataFrame:
 
 
 def attention_shift(history: DataFrame) -> DataFrame:
-    """1 - cosine of the focus vectors of consecutive epochs."""
-    pairs = dense_history(history).withColumn(
-        "__old", F.coalesce(F.lag("focus").over(_ordered()), F.lit(0.0))
-    )
+    """1 - cosine of the focus vectors of consecutive epochs.
+
+    Only rows of the history are read: an id that is absent from either epoch
+    adds nothing to their product, and each norm is a sum over its own epoch.
+    """
+    placed = history.join(F.broadcast(_numbered_epochs(history)), "epoch")
+    adjacent = F.col("__at") - F.lag("__at").over(_ordered()) == 1
+    pairs = placed.withColumn("__both", F.when(adjacent, F.col("focus") * F.lag("focus").over(_ordered())))
     sums = pairs.groupBy("epoch").agg(
-        F.sum(F.col("focus") * F.col("__old")).alias("dot"),
+        F.coalesce(F.sum("__both"), F.lit(0.0)).alias("dot"),
         F.sqrt(F.sum(F.col("focus") * F.col("focus"))).alias("now"),
-        F.sqrt(F.sum(F.col("__old") * F.col("__old"))).alias("old"),
     )
-    return sums.where("old > 0").select(
+    old = F.lag("now").over(Window.orderBy("epoch"))  # one row per epoch
+    return sums.withColumn("old", old).where("old > 0").select(
         "epoch", (1 - ratio(F.col("dot"), F.col("now") * F.col("old"))).alias("shift")
     )
 
@@ -72,10 +82,7 @@ def dwell(history: DataFrame, k: int) -> DataFrame:
     """
     by_focus = Window.partitionBy("epoch").orderBy(F.desc("focus"), "id")
     top = history.withColumn("rank", F.row_number().over(by_focus)).where(F.col("rank") <= k)
-    epochs = history.select("epoch").distinct()
-    order = F.row_number().over(Window.orderBy("epoch"))
-    numbered = epochs.withColumn("__at", order)  # one row per epoch
-    placed = top.join(F.broadcast(numbered), "epoch")
+    placed = top.join(F.broadcast(_numbered_epochs(history)), "epoch")
     run = F.col("__at") - F.row_number().over(_ordered())
     streaks = placed.withColumn("__run", run)
     within = Window.partitionBy("id", "__run").orderBy("epoch")

@@ -12,7 +12,7 @@ from linktide.operators.focus import FocusParams, focus
 from linktide.operators.graph import adjacency
 from linktide.operators.truth import accumulate
 from linktide.operators.weights import Context, effective_links
-from linktide.sources.link_records import LinkRecordSource
+from linktide.sources.link_records import Wanted, commits, file_ranges, register
 from linktide.sources.tables import (
     read_context,
     read_focus,
@@ -58,7 +58,7 @@ def record_file(tmp_path):
 
 
 def test_link_records_are_read_in_ranges(spark, record_file):
-    spark.dataSource.register(LinkRecordSource)
+    register(spark)
     df = spark.read.format("link_records").option("recordsPerTask", 300).load(record_file)
     assert df.rdd.getNumPartitions() == 4
     rows = df.orderBy("block").collect()
@@ -67,6 +67,61 @@ def test_link_records_are_read_in_ranges(spark, record_file):
     assert rows[0]["src"] == "02" * 32
 
 
+def hashed_links(spark, n):
+    ids = [F.expr(f"sha2(cast({e} as string), 256)").alias(a) for e, a in (("id % 7", "neuron"), ("id", "src"), ("id % 11", "dst"))]
+    return spark.range(0, n, 1, 4).select(
+        *ids, (F.col("id") % 3).alias("token"), F.expr("cast(id as decimal(38,0)) * 10000000000000000000000").cast("decimal(38,0)").alias("amount"),
+        F.expr("cast(id % 3 - 1 as tinyint)").alias("valence"), F.col("id").alias("block"),
+    )
+
+
+def test_link_records_are_written_and_filtered(spark, tmp_path):
+    register(spark)
+    folder = f"{tmp_path}/records"
+    links = hashed_links(spark, 2000)
+    links.write.format("link_records").option("recordsPerFile", 150).mode("append").save(folder)
+    read = spark.read.format("link_records").load(folder)
+    assert sorted(read.collect()) == sorted(links.collect())
+    for rule, options in {
+        "block between 700 and 719": {"minBlock": 700, "maxBlock": 719}, "token = 1 and block > 1990": {"tokens": "1", "minBlock": 1991},
+        "token in (0, 2) and valence < 1": {"tokens": "0,2", "valences": "-1,0"}, "block > 5000": {"minBlock": 5001},
+        "block between 9 and 8": {"minBlock": 9, "maxBlock": 8}, "token = 9": {"tokens": "9"},
+    }.items():
+        part = spark.read.format("link_records").options(**options).load(folder)
+        assert sorted(part.collect()) == sorted(links.where(rule).collect()), rule
+    one = spark.read.format("link_records").options(minBlock=700, maxBlock=719).load(folder)
+    assert one.rdd.getNumPartitions() == 1
+    again = one.where("token = 1").unionByName(one.where("token = 2")).unionByName(one.where("token = 0"))
+    assert sorted(again.collect()) == sorted(one.collect())
+    entry = commits(folder)[0]["files"][0]
+    assert entry["sorted"] and entry["rows"] == 150
+    first = entry["min_block"]
+    (part,) = file_ranges(f"{folder}/{entry['name']}", Wanted(first + 10, first + 20), 1000, None, True)
+    assert part.count == 11
+    links.limit(5).write.format("link_records").mode("append").save(folder)
+    assert spark.read.format("link_records").load(folder).count() == 2005
+    links.limit(0).write.format("link_records").mode("overwrite").save(folder)
+    assert spark.read.format("link_records").load(folder).count() == 0
+    for bad in ("'x' as src", "cast(null as bigint) as block", "cast(-1 as bigint) as token", "cast(-1 as decimal(38,0)) as amount"):
+        name = bad.split()[-1]
+        wrong = links.limit(3).drop(name).selectExpr("*", bad)
+        with pytest.raises(Exception, match=name):
+            wrong.write.format("link_records").mode("append").save(folder)
+    assert spark.read.format("link_records").load(folder).count() == 0
+
+
+def test_link_records_stream_reads_each_commit_once(spark, tmp_path):
+    register(spark)
+    folder, out = f"{tmp_path}/records", f"{tmp_path}/out"
+    links = hashed_links(spark, 300)
+    for part, so_far in ((links.where("block < 100"), 100), (links.where("block >= 100"), 300)):
+        part.write.format("link_records").mode("append").save(folder)
+        stream = spark.readStream.format("link_records").load(folder)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(out).awaitTermination()
+        assert spark.read.parquet(out).count() == so_far
+    assert sorted(spark.read.parquet(out).collect()) == sorted(links.collect())
+
+
 def test_link_records_after_a_long_header(spark, tmp_path):
     from linktide.sources.link_records import section_range
 
